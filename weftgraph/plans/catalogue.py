@@ -50,7 +50,7 @@ COSUPPLIER = _pairs_sql("l_suppkey")
 RAW = """raw AS (SELECT l_orderkey AS ord, l_linenumber AS line, o_custkey AS src, l_suppkey + 1000000 AS dst, l_quantity AS w, l_discount AS e
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 VERTS = "verts AS (SELECT src AS v, sum(w) AS k FROM edges GROUP BY 1), tot AS (SELECT 1.0 / sum(w) AS c, sum(w) AS two_m FROM edges)"
-ENDS = "SELECT ord, line, 0 AS side, src AS old_id FROM raw UNION ALL SELECT ord, line, 1, dst FROM raw"
+ENDS = "SELECT ord, line, dst, 0 AS side, src AS old_id FROM raw UNION ALL SELECT ord, line, dst, 1, dst FROM raw"
 NV = "(SELECT max(src) + 1 FROM edges)"
 
 
@@ -121,8 +121,8 @@ def edges_selfloop_filter(spark, d):
 
 @query(
     f"""WITH {RAW}, kept AS (SELECT ord, line, 'c' || src AS src, 's' || dst AS dst, e AS w FROM raw WHERE e <= 0.03),
-    ends AS (SELECT ord, line, 0 AS side, src AS key FROM kept UNION ALL SELECT ord, line, 1, dst FROM kept),
-    firsts AS (SELECT key, min((ord, line, side)) AS seen FROM ends GROUP BY 1),
+    ends AS (SELECT ord, line, dst, 0 AS side, src AS key FROM kept UNION ALL SELECT ord, line, dst, 1, dst FROM kept),
+    firsts AS (SELECT key, min((ord, line, dst, side)) AS seen FROM ends GROUP BY 1),
     ids AS (SELECT key, row_number() OVER (ORDER BY seen) - 1 AS id FROM firsts),
     e AS (SELECT a.id AS src, b.id AS dst, w FROM kept JOIN ids a ON a.key = src JOIN ids b ON b.key = dst)
     SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e"""
@@ -130,7 +130,7 @@ def edges_selfloop_filter(spark, d):
 def edges_evalue_cutoff(spark, d):
     raw = derive.customer_supplier_lines(spark, d).filter("e <= 0.03")
     kept = raw.select("ord", "line", F.concat(F.lit("c"), "src").alias("src"), F.concat(F.lit("s"), "dst").alias("dst"), F.col("e").alias("w"))
-    return build.symmetrize(build.relabel(kept, build.first_seen(kept, ["ord", "line"])))
+    return build.symmetrize(build.relabel(kept, build.first_seen(kept, ["ord", "line", "dst"])))
 
 
 def _balances(spark, d, policy):
@@ -155,11 +155,11 @@ def weights_one(spark, d):
 
 
 @query(
-    f"""WITH {RAW}, ends AS ({ENDS}), firsts AS (SELECT old_id, min((ord, line, side)) AS seen FROM ends GROUP BY 1)
+    f"""WITH {RAW}, ends AS ({ENDS}), firsts AS (SELECT old_id, min((ord, line, dst, side)) AS seen FROM ends GROUP BY 1)
     SELECT old_id, row_number() OVER (ORDER BY seen) - 1 AS new_id FROM firsts"""
 )
 def vertex_renumber_first_seen(spark, d):
-    return build.first_seen(derive.customer_supplier_lines(spark, d), ["ord", "line"])
+    return build.first_seen(derive.customer_supplier_lines(spark, d), ["ord", "line", "dst"])
 
 
 @query(
@@ -376,9 +376,9 @@ def _colored(spark, d):
     return edges, coloring.color_round(edges, blank, N_HASH, 0, SEED)
 
 
-@query(_color_sql() + " SELECT v, color FROM colors")
+@query(_color_sql() + " SELECT v, coalesce(color, -1) AS color FROM colors")
 def coloring_iteration_1(spark, d):
-    return _colored(spark, d)[1]
+    return _colored(spark, d)[1].select("v", F.coalesce("color", F.lit(-1)).cast("long").alias("color"))
 
 
 @query(_color_sql() + " SELECT count(*) AS conflicts FROM edges JOIN colors a ON a.v = src JOIN colors b ON b.v = dst WHERE src <> dst AND a.color = b.color")
@@ -454,7 +454,7 @@ def louvain_full(spark, d):
 @query()
 def louvain_colored(spark, d):
     edges = derive.customer_supplier_lines(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return louvain(build.symmetrize(edges), threshold=1e-3, colored=True, max_phases=2, max_iterations=3).assign
+    return louvain(build.symmetrize(edges), threshold=1e-3, colored=True, max_colors=4, max_phases=1, max_iterations=2).assign
 
 
 @query()
