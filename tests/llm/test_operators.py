@@ -245,12 +245,15 @@ def test_encoder_on_white_space():
 
 
 def test_local_search_empties_bins():
-    lengths = np.array([6, 6, 4, 4, 3, 3, 2, 2])  # 30: three bins of 10
-    bins = [[0, 4], [1, 5], [2, 3], [6, 7]]
-    out = packing.improve(bins, lengths, 10, 10)
-    assert len(out) == 3
-    assert sorted(i for b in out for i in b) == list(range(8))
-    assert all(lengths[b].sum() <= 10 for b in out)
+    for lengths, bins, want in (
+        ([7, 6, 3, 4], [[0], [1, 2], [3]], 2),  # one for one
+        ([6, 6, 4, 4], [[0], [1], [2, 3]], 2),  # moves
+        ([5, 3, 3, 2, 2, 5], [[0, 1], [2, 3, 4], [5]], 2),  # two for one or one for two
+    ):
+        out = packing.improve(bins, np.array(lengths), 10, 10)
+        assert len(out) == want
+        assert sorted(i for b in out for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 10 for b in out)
 
 
 # --- 6 and 7 -------------------------------------------------------------------
