@@ -92,8 +92,8 @@ def run_phase(
     """Sweep until modularity stops improving.
 
     ``vertices`` is (v, k). ``mode="strict"`` scores each partition truly and
-    returns the best one seen; ``"compat"`` reports the lagged score of the
-    sweep before the last and returns the partition of two sweeps before.
+    returns the best one seen; ``"compat"`` reports the absolute lagged score of
+    the sweep before the last and returns the partition of two sweeps before.
     ``early_stop`` 1 and 3 freeze vertices unchanged for three sweeps, 2 and 4
     decay a probability by ``alpha``; 3 and 4 also stop when 90 percent are
     frozen.
@@ -116,7 +116,7 @@ def run_phase(
         else:
             target = materialize(sw.sweep(edges, current, vertices, c, active=active), "assign")
         if mode == "compat":
-            q = _one(modularity.lagged_modularity(edges, current, target, vertices))
+            q = _one(modularity.lagged_modularity(edges, current, target, vertices, absolute=True))
             trace.append((q, target.select("comm").distinct().count()))
             if q - last < threshold:
                 return Phase(previous, last if k > 1 else q, k, trace)
