@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import sampled
 from weftgraph.plans.stage import materialize, new_path
 
 # Fixed values of the formats: frame magics and record framing.
@@ -178,8 +179,8 @@ def plan_records(pages: DataFrame, params: WarcParams = WarcParams(), id: str =
 
 def train_dictionary(pages: DataFrame, params: WarcParams, id: str = "page_id", html: str = "html") -> bytes:
     """From the first bytes of a bounded sample of pages; empty if there is too little to learn from."""
-    drawn = pages.select(F.encode(F.substring(F.coalesce(F.col(html), F.lit("")), 1, params.sample_bytes), "UTF-8").alias("b"), F.xxhash64(id).alias("h"))
-    texts = [bytes(r["b"]) for r in drawn.orderBy("h").limit(params.sample).collect()]
+    drawn = sampled(pages.select(id, html), F.xxhash64(F.col(id)), params.sample)
+    texts = [bytes(r["b"]) for r in drawn.select(F.encode(F.substring(F.coalesce(F.col(html), F.lit("")), 1, params.sample_bytes), "UTF-8").alias("b")).collect()]
     texts = [t for t in texts if t]
     if len(texts) < 16:
         return b""
