@@ -104,6 +104,24 @@ def test_chat_round_trip(spark):
             assert got[c].formatted_chars == len(chat.render(turns)[0])
 
 
+def test_long_conversation_is_spread(spark):
+    turns = [(7, t, ("user", "assistant")[t % 2], f"turn {t} <|end|> of many") for t in range(600)]
+    rows = spark.createDataFrame([*turns, (3, 0, "user", "a"), (9, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = chat.format_conversations(rows, chat.ChatParams(queries.TOKENIZER)).cache()
+        assert parts.filter("conv_id = 7").count() > 1
+        text = "".join(r.text for r in parts.filter("conv_id = 7").orderBy("part").collect())
+        assert chat.parse(text) == [(r, x) for _, _, r, x in turns]
+        got = {r.conv_id: r for r in chat.digests(parts.orderBy(F.desc("part"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert set(got) == {3, 7, 9}
+    assert got[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest()
+    assert got[7].loss_sha256 == hashlib.sha256("".join(x for _, _, r, x in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_escape_is_reversible():
     rng = random.Random(0)
     for _ in range(500):

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 SCHEMA = (
-    "conv_id long, part int, text string, input_ids array<int>, loss_mask array<boolean>, "
+    "conv_id long, part long, whole boolean, text string, input_ids array<int>, loss_mask array<boolean>, "
     "token_start array<int>, token_end array<int>, turn_start array<int>, turn_end array<int>, turn_role array<string>"
 )
 _PLAIN = re.compile(r"<(\\*)\|")
@@ -33,7 +34,7 @@ class ChatParams:
 
     tokenizer: str
     loss_roles: tuple[str, ...] = ("assistant",)
-    part_chars: int = 1 << 20
+    part_chars: int = 1 << 17
 
 
 def escape(text: str) -> str:
@@ -92,51 +93,60 @@ def masked_pieces(text: str, tokens: np.ndarray, mask: np.ndarray) -> list[str]:
 
 
 def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a part of a conversation, parts in order (see ``SCHEMA``).
+    """One row a part of a conversation (see ``SCHEMA``); its parts by ascending ``part`` are its text.
 
     Turns are taken by (turn, role, text), nulls first; a null role or text is
     empty; a null conversation id is a conversation. Repeated rows are turns of
-    their own. Rows of a conversation reach one task in order, as the rendered
-    text needs, but the task holds a part of it at a time and not the whole.
-    Columns other than the four are ignored.
+    their own. Columns other than the four are ignored. Rows are dealt into
+    ranges of (conversation, turn), so a conversation of any length is spread
+    over tasks; it is cut where a range ends and at the first turn end past
+    ``part_chars``. Markers are tokens of their own, so cuts at turn ends
+    change no token. ``whole`` says that a part is all of its conversation (a
+    conversation at the edge of a range says false, cut or not).
     """
     picked = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # the beginning of the text is enough for the ranges and keeps their sample small
+    ordered = picked.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load_tokenizer(params.tokenizer)
         out: list[tuple] = []
         held: list[tuple[str, str]] = []
-        key, part, chars = None, 0, 0
+        key, part, chars, ready, first = None, 0, 0, 0, True
+        base = TaskContext.get().partitionId() << 32  # ranges are numbered in order
 
-        def flush() -> None:
-            nonlocal part, chars
+        def flush(closed: bool) -> None:
+            nonlocal part, chars, ready
             formatted, spans = render(held)
             enc = tok.encode(formatted, add_special_tokens=False)
             offsets = np.array(enc.offsets, dtype="int32").reshape(-1, 2)
             of_loss = np.array([s for s, t in zip(spans, held) if t[0] in params.loss_roles and s[1] > s[0]], dtype="int32").reshape(-1, 2)
             mask = mask_tokens(offsets, of_loss)
-            out.append((key, part, formatted, enc.ids, mask, offsets[:, 0], offsets[:, 1], [s[0] for s in spans], [s[1] for s in spans], [t[0] for t in held]))
+            whole = closed and part == 0 and not first
+            out.append((key, base + part, whole, formatted, np.array(enc.ids, dtype="int32"), mask, offsets[:, 0], offsets[:, 1], [s[0] for s in spans], [s[1] for s in spans], [t[0] for t in held]))
             held.clear()
-            part, chars = part + 1, 0
+            part, chars, ready = part + 1, 0, ready + len(formatted)
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        begun = False
         for pdf in batches:
             for k, r, t in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
                 k = None if pd.isna(k) else int(k)
-                if key != k or (key is None and not held and part == 0):
+                if not begun:
+                    key, begun = k, True
+                elif key != k:
                     if held:
-                        flush()
-                    key, part, chars = k, 0, 0
+                        flush(closed=True)
+                    key, part, chars, first = k, 0, 0, False
                 held.append((r, t))
                 chars += len(t)
                 if chars >= params.part_chars:
-                    flush()
-            if len(out) > 64:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
-                out = []
+                    flush(closed=False)
+                if len(out) >= 512 or ready >= 1 << 22:
+                    yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                    out, ready = [], 0
         if held:
-            flush()
+            flush(closed=False)
         if out:
             yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
 
@@ -144,40 +154,61 @@ def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
+PIECE = "conv_id long, part long, whole boolean, n_turns long, turns binary, loss_chars long, loss binary, formatted_chars long, n_tokens long, loss_tokens long"
+
+
+def read_back(parts: DataFrame) -> DataFrame:
+    """What each part says (``PIECE``): its turns, and all text under its loss mask, unescaped; of whole conversations only their SHA-256."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in PIECE.split(", ")]
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                said = parse(row.text)
+                mask = np.asarray(row.loss_mask, dtype=bool)
+                spans = np.column_stack([np.asarray(row.token_start, "int64"), np.asarray(row.token_end, "int64")]).reshape(-1, 2)
+                loss = "".join(masked_pieces(row.text, spans, mask))
+                held = ["".join(f"{r}\n{t}\n" for r, t in said).encode(), loss.encode()]
+                if row.whole:
+                    held = [hashlib.sha256(x).digest() for x in held]
+                key = None if pd.isna(row.conv_id) else int(row.conv_id)
+                out.append((key, row.part, row.whole, len(said), held[0], len(loss), held[1], len(row.text), len(mask), int(mask.sum())))
+            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+
+    return parts.mapInPandas(run, PIECE)
 
 
 def digests(parts: DataFrame) -> DataFrame:
-    """One row a conversation, read back from the formatted parts (``DIGEST``).
+    """One row a conversation, read back from the formatted parts in any order (``DIGEST``).
 
-    ``parts`` must come straight from :func:`format_conversations`, whose
-    tasks emit the parts of a conversation one after the other.
+    Whole conversations are finished where they are read. The pieces of the
+    others meet in order of ``part``; SHA-256 takes its input in sequence, so
+    one task streams a cut conversation through the hash, a piece at a time.
     """
+    # the row itself is small unless a conversation was cut
+    dealt = read_back(parts).repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, names = None, [x.split()[0] for x in DIGEST.split(", ")]
-        out: list[tuple] = []
-        close = lambda c: (c["id"], c["n"], c["turns"].hexdigest(), c["chars"], c["loss"].hexdigest(), c["all"], c["tokens"], c["masked"])
+        close = lambda c: (c["id"], c["sums"][0], c["turns"].hexdigest(), c["sums"][1], c["loss"].hexdigest(), *c["sums"][2:])
         for pdf in batches:
+            out: list[tuple] = []
             for row in pdf.itertuples(index=False):
-                if row.part == 0:
+                key = None if pd.isna(row.conv_id) else int(row.conv_id)
+                if row.whole:
+                    out.append((key, row.n_turns, row.turns.hex(), row.loss_chars, row.loss.hex(), row.formatted_chars, row.n_tokens, row.loss_tokens))
+                    continue
+                if cur is None or cur["id"] != key:
                     if cur:
                         out.append(close(cur))
-                    cur = {"id": None if pd.isna(row.conv_id) else int(row.conv_id), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0, "tokens": 0, "masked": 0}
-                for role, text in parse(row.text):
-                    cur["turns"].update(f"{role}\n{text}\n".encode())
-                    cur["n"] += 1
-                mask = np.asarray(row.loss_mask, dtype=bool)
-                spans = np.column_stack([np.asarray(row.token_start, "int64"), np.asarray(row.token_end, "int64")]).reshape(-1, 2)
-                for piece in masked_pieces(row.text, spans, mask):
-                    cur["loss"].update(piece.encode())
-                    cur["chars"] += len(piece)
-                cur["all"] += len(row.text)
-                cur["tokens"] += len(mask)
-                cur["masked"] += int(mask.sum())
+                    cur = {"id": key, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "sums": [0] * 5}
+                cur["turns"].update(row.turns)
+                cur["loss"].update(row.loss)
+                cur["sums"] = [a + b for a, b in zip(cur["sums"], (row.n_turns, row.loss_chars, row.formatted_chars, row.n_tokens, row.loss_tokens))]
             if out:
                 yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
-                out = []
         if cur:
-            yield pd.DataFrame([*out, close(cur)], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([close(cur)], columns=names).astype({"conv_id": "Int64"})
 
-    return parts.mapInPandas(run, DIGEST)
+    return dealt.mapInPandas(run, DIGEST)
