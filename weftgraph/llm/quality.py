@@ -75,7 +75,9 @@ class Features:
         for w, c in counts.items():
             got = cache.get(w)
             if got is None:
-                got = cache[w] = self.word(w[:64])
+                got = self.word(w)
+                if len(w) <= 64:  # so that the cache stays small
+                    cache[w] = got
             found.add(got[0])
             shapes[got[1]] = shapes.get(got[1], 0) + c
         for s, c in shapes.items():
