@@ -241,6 +241,14 @@ def search(queries: DataFrame, prints: DataFrame, params: TableParams = TablePar
 
 # --- components -----------------------------------------------------------------
 
+#: Narrow rows that are worth a file of their own.
+ROWS_A_FILE = 8192
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` narrow rows in no more parts than these fill; never in more than it has."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links`` (a, b): the smallest node of its component.
@@ -250,7 +258,7 @@ def components(links: DataFrame) -> DataFrame:
     to the shared folder; nodes without links do not appear.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    state = None
+    rows, state = edges.count(), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -258,7 +266,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.filter("u <> v").distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u <> v").distinct(), "links")
+        edges = materialize(few_files(small.filter("u <> v").distinct(), rows), "links")  # a round never adds links
         # equal counts and equal hash sums: nothing moved
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (row["n"], row["h"]):
@@ -291,10 +299,10 @@ def near_duplicates(docs: DataFrame, params: TableParams = TableParams(), id: st
     rows stay.
     """
     prints = materialize(fingerprints(docs, id, text), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(few_files(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), prints.count()), "nodes")
     found = components(near_pairs(nodes, params))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    rooted = materialize(few_files(rooted, nodes.count()), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
