@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows that one Arrow batch may hold: bounds a Python worker by texts, not by tables.
 BATCH_ROWS = 512
 
+#: White space in a row from which the faster encoder's pattern may run out of stack.
+BLANK_RUN = 1 << 15
+_BLANKS = re.compile(r"\s{256,}")
+
+
+def has_long_blank(text: str) -> bool:
+    """Whether ``text`` holds ``BLANK_RUN`` white space characters in a row."""
+    return len(text) >= BLANK_RUN and any(m.end() - m.start() >= BLANK_RUN for m in _BLANKS.finditer(text))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

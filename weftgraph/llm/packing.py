@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import has_long_blank
 from weftgraph.plans.stage import materialize
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
@@ -58,17 +59,19 @@ class Encoder:
     """The ids of a tokenizer file, by the faster of two libraries that gives the same ones."""
 
     def __init__(self, path: str) -> None:
-        ranks = byte_ranks(path)
-        if ranks is None:
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            self.ids = lambda text: tok.encode(text, add_special_tokens=False).ids
-        else:
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        self.slow = lambda text: tok.encode(text, add_special_tokens=False).ids
+        self.fast, ranks = self.slow, byte_ranks(path)
+        if ranks is not None:
             import tiktoken
 
-            self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str) -> list[int]:
+        return (self.slow if has_long_blank(text) else self.fast)(text)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
