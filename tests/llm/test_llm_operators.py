@@ -260,6 +260,20 @@ def test_encoder_on_white_space():
     for _ in range(400):
         t = "".join(rng.choice([" ", "\n", "\t", "\u3000", "\x85", "a", "it's", "12", "!?", "é", "<|endoftext|>", "'ll"]) for _ in range(rng.randrange(14)))
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    for t in (" " * 1_500_000 + "x", "\n \n" * 400_000, "a" * 200_000):  # more in a row than the faster library bears
+        assert enc.ids(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_chat_encoder_gives_the_offsets_of_the_named_library():
+    enc = chat.OffsetEncoder(queries.TOKENIZER)
+    assert enc.fast is not None
+    rng = random.Random(2)
+    texts = ["".join(rng.choice([" ", "\n", "\u3000", "a", "it's", "12", "!?", "é", "日本", "🙂", "👩‍👩‍👧", "e\u0301", chat.TURN, chat.TEXT, chat.END, "<|endoftext|>", "<\\|end|>"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    for t in [*texts, "x" + " " * 1_200_000 + "é"]:
+        want = enc.tok.encode(t, add_special_tokens=False)
+        ids, spans = enc(t)
+        assert ids.tolist() == want.ids
+        assert [tuple(x) for x in spans.tolist()] == want.offsets
 
 
 def test_local_search_empties_bins():

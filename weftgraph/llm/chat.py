@@ -18,6 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import has_long_blank
+from weftgraph.llm.packing import PATTERN, byte_ranks
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 SCHEMA = (
     "conv_id long, part long, whole boolean, text string, input_ids array<int>, loss_mask array<boolean>, "
@@ -71,6 +74,49 @@ def load_tokenizer(path: str):
     return tok
 
 
+class OffsetEncoder:
+    """Ids and character spans of a text's tokens, markers included.
+
+    Where the vocabulary allows it, ids come from the faster library, and
+    spans from the tokens' lengths in bytes: a token spans all characters of
+    which it holds a byte. Else both come from the tokenizer itself.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tok, self.fast, ranks = load_tokenizer(path), None, byte_ranks(path)
+        if ranks is not None:
+            import tiktoken
+
+            whole = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+            self.fast = tiktoken.Encoding("marked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=whole)
+            self.width = np.zeros(max([*ranks.values(), *whole.values()]) + 1, dtype=np.int64)
+            for token, i in [*ranks.items(), *((t.encode(), i) for t, i in whole.items())]:
+                self.width[i] = len(token)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(n) ids and (n, 2) spans."""
+        if self.fast is None or has_long_blank(text):
+            enc = self.tok.encode(text, add_special_tokens=False)
+            return np.array(enc.ids, dtype="int32"), np.array(enc.offsets, dtype="int32").reshape(-1, 2)
+        ids = self.fast.encode_to_numpy(text, allowed_special="all").astype("int32")
+        ends = np.cumsum(self.width[ids])
+        starts = ends - self.width[ids]
+        if not text.isascii():
+            begun = np.cumsum(np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0 != 0x80)  # characters begun up to each byte
+            starts, ends = begun[starts] - 1, begun[ends - 1]
+        return ids, np.column_stack([starts, ends]).astype("int32")
+
+
+_ENCODERS: dict[str, OffsetEncoder] = {}
+
+
+def encoder(path: str) -> OffsetEncoder:
+    """One a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = OffsetEncoder(path)
+    return _ENCODERS[path]
+
+
 def mask_tokens(tokens: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Which of the sorted token spans (n, 2) overlap one of the sorted, disjoint spans (m, 2)."""
     if not len(tokens) or not len(spans):
@@ -109,7 +155,7 @@ def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_
     ordered = picked.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = load_tokenizer(params.tokenizer)
+        encode = encoder(params.tokenizer)
         out: list[tuple] = []
         held: list[tuple[str, str]] = []
         key, part, chars, ready, first = None, 0, 0, 0, True
@@ -118,12 +164,11 @@ def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_
         def flush(closed: bool) -> None:
             nonlocal part, chars, ready
             formatted, spans = render(held)
-            enc = tok.encode(formatted, add_special_tokens=False)
-            offsets = np.array(enc.offsets, dtype="int32").reshape(-1, 2)
+            ids, offsets = encode(formatted)
             of_loss = np.array([s for s, t in zip(spans, held) if t[0] in params.loss_roles and s[1] > s[0]], dtype="int32").reshape(-1, 2)
             mask = mask_tokens(offsets, of_loss)
             whole = closed and part == 0 and not first
-            out.append((key, base + part, whole, formatted, np.array(enc.ids, dtype="int32"), mask, offsets[:, 0], offsets[:, 1], [s[0] for s in spans], [s[1] for s in spans], [t[0] for t in held]))
+            out.append((key, base + part, whole, formatted, ids, mask, offsets[:, 0], offsets[:, 1], [s[0] for s in spans], [s[1] for s in spans], [t[0] for t in held]))
             held.clear()
             part, chars, ready = part + 1, 0, ready + len(formatted)
 
