@@ -448,18 +448,18 @@ def rgg_grid_join(spark, d):
 
 @query()
 def louvain_full(spark, d):
-    return louvain(derive.copurchase(spark, d), threshold=1e-3, max_phases=4, max_iterations=12).assign
+    return louvain(derive.copurchase(spark, d)).assign
 
 
 @query()
 def louvain_colored(spark, d):
     edges = derive.customer_supplier_lines(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return louvain(build.symmetrize(edges), threshold=1e-3, colored=True, max_colors=4, max_phases=1, max_iterations=2).assign
+    return louvain(build.symmetrize(edges), colored=True).assign
 
 
 @query()
 def louvain_early_stop(spark, d):
-    return louvain(derive.copurchase(spark, d), threshold=1e-3, early_stop=3, cycle=True, max_phases=2, max_iterations=6).assign
+    return louvain(derive.copurchase(spark, d), early_stop=3, cycle=True).assign
 
 
 @query()
