@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by their prose; the generalised tag-class
-paths of the best ones are votes, summed per host in Spark; then every page is
-extracted again from the container that its host's winning paths name.
+Each page's containers are scored by their prose and the best one is lifted to
+the article around it; the generalised tag-class paths are votes, summed per
+host in Spark; then every page is extracted again from all containers that its
+host's first fitting path names.
 """
 
 from __future__ import annotations
@@ -36,15 +37,21 @@ NOISE = re.compile(
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
+ARTICLES = frozenset(("article", "main"))
 VOTE = "host string, path string, score double"
 
 
 @dataclass(frozen=True)
 class ExtractParams:
-    """``winners`` paths are kept per host; a container's paragraph gives its parent 1 and its grandparent ``decay``."""
+    """``winners`` paths are kept per host; a container's paragraph gives its parent 1 and its grandparent ``decay``.
+
+    Outside of any article, a winner is lifted to an ancestor that holds more
+    than ``spare`` of its prose elsewhere.
+    """
 
     winners: int = 3
     decay: float = 0.5
+    spare: float = 0.1
 
 
 class Node:
@@ -134,6 +141,22 @@ def _walk(root: Node) -> Iterator[Node]:
         stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
 
 
+def prose(root: Node) -> dict[int, int]:
+    """Characters outside links and noise below each element."""
+    nodes = list(_walk(root))
+    held = {id(x): 0 if x.noise or x.tag == "a" else sum(len(t.strip()) for t in x.items if isinstance(t, str)) for x in nodes}
+    for x in reversed(nodes):
+        if x.parent is not None:
+            held[id(x.parent)] += held[id(x)]
+    return held
+
+
+def _up(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def scores(root: Node, decay: float) -> dict[int, tuple[Node, float]]:
     """Prose of each container: characters of its paragraphs outside links and furniture."""
     found: dict[int, tuple[Node, float]] = {}
@@ -162,10 +185,24 @@ def scores(root: Node, decay: float) -> dict[int, tuple[Node, float]]:
     return found
 
 
-def best(root: Node, decay: float) -> Node | None:
-    found = scores(root, decay)
+def best(root: Node, params: ExtractParams) -> Node | None:
+    """The container of the most prose, lifted."""
+    found = scores(root, params.decay)
     # ties go to the container that comes first in the page
-    return max(found.values(), key=lambda x: x[1])[0] if found else None
+    return lift(root, max(found.values(), key=lambda x: x[1])[0], params.spare) if found else None
+
+
+def lift(root: Node, node: Node, spare: float) -> Node:
+    """The outermost article around a container; without one, the outermost container that adds prose."""
+    around = [x for x in _up(node) if x.tag in CONTAINERS]
+    articles = [x for x in around if x.tag in ARTICLES]
+    if articles:
+        return articles[-1]
+    held = prose(root)
+    for x in around:
+        if held[id(x)] - held[id(node)] > spare * held[id(x)]:
+            node = x
+    return node
 
 
 def text_of(top: Node) -> str:
@@ -200,16 +237,20 @@ def text_of(top: Node) -> str:
     return "\n".join(lines)
 
 
-def extract_one(html: str | None, winners: list[str], decay: float) -> tuple[str, str]:
+def text_at(root: Node, path: str) -> str:
+    """The text of all containers with this path, in page order."""
+    fits = [x for x in _walk(root) if x.tag in CONTAINERS and not x.noise and path.endswith(x.name) and x.path() == path]
+    return "\n".join(text for x in fits if (text := text_of(x)))
+
+
+def extract_one(html: str | None, winners: list[str], params: ExtractParams) -> tuple[str, str]:
     """(text, path used): from the first of the winning paths that the page has, else from its own best container."""
     root = parse(html)
-    found = scores(root, decay)
     for path in winners:
-        fits = [x for x in found.values() if x[0].path() == path]
-        if fits and (text := text_of(max(fits, key=lambda x: x[1])[0])):
+        if text := text_at(root, path):
             return text, path
-    node = max(found.values(), key=lambda x: x[1])[0] if found else None
-    return (text_of(node), node.path()) if node is not None else ("", "")
+    node = best(root, params)
+    return (text_at(root, node.path()), node.path()) if node is not None else ("", "")
 
 
 def host_paths(pages: DataFrame, params: ExtractParams = ExtractParams(), url: str = "url", html: str = "html") -> DataFrame:
@@ -219,7 +260,7 @@ def host_paths(pages: DataFrame, params: ExtractParams = ExtractParams(), url: s
         for pdf in batches:
             votes: dict[tuple[str, str], float] = {}
             for h, page in zip(pdf["host"], pdf["html"]):
-                node = best(parse(page), params.decay)
+                node = best(parse(page), params)
                 if node is not None:
                     votes[h, node.path()] = votes.get((h, node.path()), 0.0) + 1.0
             yield pd.DataFrame([(h, p, s) for (h, p), s in votes.items()], columns=["host", "path", "score"])
@@ -247,7 +288,7 @@ def extract(pages: DataFrame, params: ExtractParams = ExtractParams(), url: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [extract_one(h, [] if p is None else list(p), params.decay) for h, p in zip(pdf["__html"], pdf["paths"])]
+            got = [extract_one(h, [] if p is None else list(p), params) for h, p in zip(pdf["__html"], pdf["paths"])]
             out = pdf[rest].copy()
             out["text"], out["text_path"] = [x[0] for x in got], [x[1] for x in got]
             yield out
