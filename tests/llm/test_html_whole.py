@@ -1,11 +1,13 @@
-"""Whole articles, whatever is nested in them."""
+"""Whole articles, whatever is nested in them and however their elements are called."""
 
 from __future__ import annotations
 
+import pytest
+
 from weftgraph.llm import html_extract
 
-ONE, TWO = "one " * 150, "two " * 100
-A, B = ONE.strip(), TWO.strip()
+ONE, TWO, THREE = "one " * 150, "two " * 100, "three " * 20
+A, B, C = ONE.strip(), TWO.strip(), THREE.strip()
 
 
 def texts(spark, *pages):
@@ -20,6 +22,14 @@ NESTED = {
     f"<body><div><div><section><p>{A}</p></section></div><div><p>{B}</p></div></div>": [A, B],
     f"<body><div class=part><p>{A}</p></div><div class=part><p>{B}</p></div>": [A, B],
 }
+NAMED = [
+    f"<body>{a}<p>{A}</p><p>{B}</p>{b}"
+    for a, b in [
+        ("<div class='content has-sidebar'>", "</div>"), ("<main class='no-sidebar'>", "</main>"), ("<article class='post social'>", "</article>"),
+        ("<div id='side-by-side'>", "</div>"), ("<div class=social>", "</div>"), ("<form><div>", "</div></form>"), ("<div class=comments>", "</div>"),
+    ]
+]
+
 
 def test_nested_parts_stay(spark):
     assert texts(spark, *NESTED) == ["\n".join(x) for x in NESTED.values()]
@@ -29,3 +39,17 @@ def test_equal_paths_of_a_host_stay(spark):
     page = f"<body><article><p>{A}</p></article><article><p>{B}</p></article>"
     frame = spark.createDataFrame([(i, "http://h/", page) for i in range(3)], "page_id long, url string, html string")
     assert [r.text for r in html_extract.extract(frame).collect()] == [f"{A}\n{B}"] * 3
+
+
+def test_names_do_not_lose_a_page(spark):
+    assert texts(spark, *NAMED) == [f"{A}\n{B}"] * len(NAMED)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "comments", "social_share"])
+def test_furniture_stays_out(name):
+    params = html_extract.ExtractParams()
+    for x in ("article", "div class=post"):
+        page = f"<body><{x}><p>{B}</p></{x.split()[0]}><div class={name}><p>{C}</p></div>"
+        assert html_extract.extract_one(page, [], params)[0] == B
+    long = f"<body><div class=post><p>{B}</p></div><div class=comments><p>{A}</p></div>"
+    assert html_extract.extract_one(long, [], params)[0] == B

@@ -22,21 +22,23 @@ from weftgraph.plans.stage import materialize
 
 # Element names of the markup language, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title iframe object svg canvas nav aside form button select textarea menu dialog footer audio video map".split())
+DROPPED = frozenset("script style noscript template head title iframe object svg canvas nav aside button select textarea menu dialog footer audio video map".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body".split())
 PROSE = frozenset("p pre blockquote li h1 h2 h3 h4 h5 h6 dd div article section td main body".split())
-# Words in class and id names that mark page furniture.
+# Words of which a class or id that marks page furniture is made up.
 NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
+    r"(?:ads?|advert\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
     r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|promo\w*|sponsor\w*|newsletter|subscribe|signup|login|popup|modal|"
-    r"overlay|widgets?|pagination|pager|toolbar|skip|hidden)(?:$|[-_\s])",
+    r"overlay|widgets?|pagination|pager|toolbar|skip|hidden)",
     re.I,
 )
+# Those of furniture that is often longer than the article.
+LONG = re.compile(r"cookies?|consent|gdpr|notices?|comments?|commentlist|disqus|replies|respond", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ARTICLES = frozenset(("article", "main"))
 VOTE = "host string, path string, score double"
 
@@ -55,10 +57,12 @@ class ExtractParams:
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "items", "noise")
+    """``hard`` elements are never text; ``soft`` ones are furniture by name, or forms: 1 unless they hold the page (``mark``), 2 even then."""
 
-    def __init__(self, tag: str, name: str, parent: "Node | None", noise: bool) -> None:
-        self.tag, self.name, self.parent, self.items, self.noise = tag, name, parent, [], noise
+    __slots__ = ("tag", "name", "parent", "items", "hard", "soft", "noise")
+
+    def __init__(self, tag: str, name: str, parent: "Node | None", hard: bool, soft: int = 0) -> None:
+        self.tag, self.name, self.parent, self.items, self.hard, self.soft, self.noise = tag, name, parent, [], hard, soft, hard
 
     def path(self) -> str:
         names, node = [], self
@@ -82,13 +86,16 @@ class _Builder(HTMLParser):
             stop = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}.get(tag, {"dl", "select"})
             self._end_open(tag, stop)
         a = {k: v or "" for k, v in attrs}
-        marks = f"{a.get('class', '')} {a.get('id', '')}"
         in_article = self._inside(("article", "main"))
-        noise = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in a or a.get("aria-hidden") == "true"
-        noise = noise or a.get("role", "").lower() in ROLES or bool(HIDDEN.search(a.get("style", "")))
-        noise = noise or (tag not in ("html", "body") and bool(NOISE.search(marks)))
+        role = a.get("role", "").lower()
+        hard = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in a or a.get("aria-hidden") == "true"
+        hard = hard or role in ROLES or bool(HIDDEN.search(a.get("style", "")))
+        marks = [re.split("[-_]+", x.strip("-_")) for x in f"{a.get('class', '')} {a.get('id', '')}".split()]
+        marks = [x for x in marks if all(map(NOISE.fullmatch, x))] if tag not in ("html", "body") and tag not in ARTICLES else []
+        firm = any(map(LONG.fullmatch, sum(marks, [])))
+        soft = 2 if firm else int(bool(marks) or tag == "form" or role == "form")
         classes = ".".join(sorted(set(re.sub(r"\d+", "N", a.get("class", "")).lower().split())))
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, self.at, noise or self.at.noise)
+        node = Node(tag, f"{tag}.{classes}" if classes else tag, self.at, hard or self.at.hard, soft)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -130,6 +137,7 @@ def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
+    mark(builder.root)
     return builder.root
 
 
@@ -151,6 +159,28 @@ def prose(root: Node) -> dict[int, int]:
     return held
 
 
+def mark(root: Node, names: bool = True) -> None:
+    """Set ``noise``: hard elements, with ``names`` also soft ones, and all below either.
+
+    An element of ``soft`` 1 that holds most of the page's prose is none,
+    unless an article with prose lies outside it.
+    """
+    nodes = list(_walk(root))
+    for x in nodes:
+        x.noise = x.hard
+    if not names or not any(x.soft and not x.hard for x in nodes):
+        return
+    held = prose(root)
+    articles = [x for x in nodes if x.tag in ARTICLES and held[id(x)]]
+
+    def apart(x: Node, y: Node) -> bool:
+        return not any(a is y for a in _up(x)) and not any(a is x for a in _up(y))
+
+    for x in nodes:
+        most = x.soft == 1 and 2 * held[id(x)] > held[id(root)] and not any(apart(x, y) for y in articles)
+        x.noise = x.hard or (x.soft and not most) or (x.parent is not None and x.parent.noise)
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
@@ -186,8 +216,11 @@ def scores(root: Node, decay: float) -> dict[int, tuple[Node, float]]:
 
 
 def best(root: Node, params: ExtractParams) -> Node | None:
-    """The container of the most prose, lifted."""
+    """The container of the most prose, lifted; if names leave none, as if there were no names."""
     found = scores(root, params.decay)
+    if not found:
+        mark(root, names=False)
+        found = scores(root, params.decay)
     # ties go to the container that comes first in the page
     return lift(root, max(found.values(), key=lambda x: x[1])[0], params.spare) if found else None
 
