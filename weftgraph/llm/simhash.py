@@ -276,22 +276,27 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-FINGERPRINTS = "doc_id long, fp long"
+FINGERPRINTS = "doc_id long, text_key long, fp long"
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of whole texts; null and wordless texts have 0."""
+    """``(doc_id, text_key, fp)`` of whole texts; null and wordless texts have 0. ``text_key`` is ``xxhash64`` of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([shingle_fingerprint(t) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": fps})
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, FINGERPRINTS)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInPandas(run, FINGERPRINTS)
 
 
 def near_duplicates(docs: DataFrame, params: TableParams = TableParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row a row of ``docs``; the smallest id among all linked texts.
+    """``(doc_id, fp, component_id)``: one row a row of ``docs``; the smallest id among all linked texts."""
+    return marked(docs, params, id, text).select("doc_id", "fp", "component_id")
+
+
+def marked(docs: DataFrame, params: TableParams = TableParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, text_key, fp, root, component_id)``; ``root`` is the component's own fingerprint.
 
     Equal fingerprints are one node however many documents have it, so copies
     cost no pairs; distinct ones meet in the permuted tables. Null ids take
@@ -304,22 +309,24 @@ def near_duplicates(docs: DataFrame, params: TableParams = TableParams(), id: st
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(few_files(rooted, nodes.count()), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, params: TableParams = TableParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+    """The rows of ``docs`` that stay: of each component one, that with the smallest id.
 
-    Of repeated rows of that id one stays, the first by text.
+    Of several rows of that id, or of none if all ids are null, the first by
+    text stays. An id or null that is in several components stays in each.
     """
-    marks = near_duplicates(docs, params, id, text)
-    # one non-null key, so that the join and the window share one shuffle of the texts
+    marks = marked(docs, params, id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows are joined back on id and text; one non-null key for null ids
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
-    kept = marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__k")).distinct()
-    stay = docs.withColumn("__k", key(F.col(id))).join(materialize(kept, "kept"), "__k", "left_semi")
-    place = F.row_number().over(Window.partitionBy("__k").orderBy(text))
-    return stay.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    kept = marks.select(key(F.col("doc_id")).alias("__k"), F.col("text_key").alias("__t"), F.col("root").alias("__root")).distinct()
+    rows = docs.withColumns({"__k": key(F.col(id)), "__t": F.xxhash64(text)})
+    place = F.row_number().over(Window.partitionBy("__root").orderBy(text))
+    stay = rows.join(materialize(kept, "kept"), ["__k", "__t"]).withColumn("__place", place)
+    return stay.filter("__place = 1").select(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
