@@ -53,3 +53,55 @@ def test_furniture_stays_out(name):
         assert html_extract.extract_one(page, [], params)[0] == B
     long = f"<body><div class=post><p>{B}</p></div><div class=comments><p>{A}</p></div>"
     assert html_extract.extract_one(long, [], params)[0] == B
+
+
+#: Pages that have no container of the usual kind, or little prose in it.
+PLAIN = {
+    "<p>Hello there world</p><p>Second para</p>": "Hello there world\nSecond para",
+    "<html><h1>Title</h1><p>Some text</p></html>": "Title\nSome text",
+    "plain text only": "plain text only",
+    f"<main><section>{'a' * 70}</section><section>{'b' * 30}</section></main>": "a" * 70 + "\n" + "b" * 30,
+    "<article><h1>Title</h1><div class='body'><p>first words of it</p></div><p>last words</p></article>": "Title\nfirst words of it\nlast words",
+    "<form action=/><article><h1>Title</h1><p>in a form</p></article></form>": "Title\nin a form",
+    "<article><p><a href=/x>one link</a></p></article>": "one link",
+    "<body><nav><a>Home</a></nav><p><a>only link</a></p><footer>f</footer>": "only link",
+    "<div><div class=part><p>aa</p></div><div class=part><p>bb</p></div><div class=part><p>cc</p></div></div>": "aa\nbb\ncc",
+    "<body><div class='a>b'><p>odd name</p></div>": "odd name",
+    "": "",
+    "<body><nav>menu</nav></body>": "",
+}
+
+
+def test_pages_of_any_shape(spark):
+    assert texts(spark, *PLAIN) == list(PLAIN.values())
+    params = html_extract.ExtractParams()
+    for page, want in PLAIN.items():  # and again by their own path
+        text, path = html_extract.extract_one(page, [], params)
+        assert (text, path) == html_extract.extract_one(page, [path], params) and text == want
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<div>" * n + "<p>deep", lambda n: "<div>" * n + "x" + "</section>" * n + "</div>" * n, lambda n: "<b>" * n + "<hr>" * n + "x", lambda n: "<a><div>" + "<b>" * n + "</a>" * n + "x",
+        lambda n: "<b>x " * n, lambda n: "<ul>" + "<li>x<b>" * n, lambda n: "<article><p>x</p></article>" * n + "<div class=ad>y</div>" * n, lambda n: "<article><div class=menu>x" * n,
+    ],
+)
+def test_time_is_linear_in_the_page(make):
+    import time
+
+    params, took = html_extract.ExtractParams(), []
+    for n in (10_000, 100_000):
+        began = time.process_time()
+        text, path = html_extract.extract_one(make(n), [], params)
+        took.append(time.process_time() - began)
+        assert text and len(path) < 6000
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_empty_table_repeated_rows_and_clashes(spark):
+    rows = [(1, "http://h/", "<p>x y</p>"), (1, "http://h/", "<p>x y</p>"), (2, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS paths", "2 AS host", "3 AS text_path", "4 AS extra")
+    got = html_extract.extract(frame).collect()
+    assert sorted((r.page_id, r.text, r.extra) for r in got) == [(1, "x y", 4), (1, "x y", 4), (2, "", 4)]
+    assert html_extract.extract(frame.limit(0)).count() == 0

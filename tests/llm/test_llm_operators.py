@@ -72,7 +72,7 @@ def test_templates_learn_bad_branches(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, url_key long, bad int")
     got = url_filter.judge(frame.drop("bad"), frame.filter("page_id % 2 = 0").select("url_key", "bad")).collect()
     assert {(r.path.split("/")[1], r.verdict) for r in got} == {("spam", "block"), ("news", "allow")}
-    assert {r.template for r in got} == {"/spam/item-{n}/x{n}", "/news/item-{n}/x{n}"} or all("*" in r.template for r in got)
+    assert {r.template for r in got} == {"/spam/*/*", "/news/*/*"}
 
 
 def test_empty_pages(spark):

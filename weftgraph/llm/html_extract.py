@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,14 @@ DROPPED = frozenset("script style noscript template head title iframe object svg
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-CONTAINERS = frozenset("article main section div td body".split())
-PROSE = frozenset("p pre blockquote li h1 h2 h3 h4 h5 h6 dd div article section td main body".split())
+ROOT = "#root"
+CONTAINERS = frozenset(("article main section div td body " + ROOT).split())
+PROSE = frozenset(("p pre blockquote li h1 h2 h3 h4 h5 h6 dd div article section td main body " + ROOT).split())
+# Elements that a new one of their kind closes, and the elements within which that holds.
+CLOSED_WITHIN = {
+    "p": BLOCKS - {"p"}, "li": frozenset(("ul", "ol", "menu")), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")),
+    "dd": frozenset(("dl", "select")), "dt": frozenset(("dl", "select")), "option": frozenset(("dl", "select")),
+}
 # Words of which a class or id that marks page furniture is made up.
 NOISE = re.compile(
     r"(?:ads?|advert\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
@@ -41,6 +48,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ARTICLES = frozenset(("article", "main"))
 VOTE = "host string, path string, score double"
+#: Names that a path spells out; above them it is only hashed.
+SPELLED = 24
 
 
 @dataclass(frozen=True)
@@ -57,80 +66,118 @@ class ExtractParams:
 
 
 class Node:
-    """``hard`` elements are never text; ``soft`` ones are furniture by name, or forms: 1 unless they hold the page (``mark``), 2 even then."""
+    """``hard`` elements are never text; ``soft`` ones are furniture by name, or forms: 1 unless they hold the page (``mark``), 2 even then.
 
-    __slots__ = ("tag", "name", "parent", "items", "hard", "soft", "noise")
+    What is asked of its ancestors is kept in each node, so deep pages cost no
+    climbing: the hash of the path to it, the nearest elements that a new one
+    would close (``open``), the block, the prose block and the container that
+    it lies in (itself, if it is one).
+    """
+
+    __slots__ = ("tag", "name", "parent", "items", "hard", "soft", "noise", "depth", "key", "open", "block", "para", "holder", "in_article", "inline", "nodes")
 
     def __init__(self, tag: str, name: str, parent: "Node | None", hard: bool, soft: int = 0) -> None:
-        self.tag, self.name, self.parent, self.items, self.hard, self.soft, self.noise = tag, name, parent, [], hard, soft, hard
+        self.tag, self.name, self.parent, self.items, self.hard, self.soft, self.noise, self.inline = tag, name, parent, [], hard, soft, hard, None
+        self.nodes: list[Node] | None = None  # of the root: all elements in page order
+        if parent is None:
+            self.depth, self.key, self.open, self.in_article = 0, 0, {}, False
+            self.block = self.para = self.holder = self
+            return
+        self.depth, self.in_article = parent.depth + 1, parent.in_article or tag in ARTICLES
+        self.key = xxhash.xxh64_intdigest(name, parent.key)
+        self.block = self if tag in BLOCKS else parent.block
+        self.para = self if tag in PROSE else parent.para
+        self.holder = self if tag in CONTAINERS else parent.holder
+        kept = parent.open
+        if kept and (tag in BLOCKS or tag == "select"):
+            kept = {t: x for t, x in kept.items() if tag not in CLOSED_WITHIN[t]}
+        self.open = {**kept, tag: self} if tag in CLOSED_WITHIN else kept
 
     def path(self) -> str:
+        """The names from the root; of a deep element the last ones, and a hash of all."""
         names, node = [], self
-        while node is not None and node.parent is not None:
-            names.append(node.name)
+        while node.parent is not None and len(names) < SPELLED:
+            names.append(node.name if len(node.name) <= 200 else f"{node.name[:200]}#{xxhash.xxh64_hexdigest(node.name)}")
             node = node.parent
-        return ">".join(reversed(names))
+        text = ">".join(reversed(names))
+        return text if node.parent is None else f"#{self.key:016x}>{text}"
 
 
 class _Builder(HTMLParser):
-    """A forgiving tree: unclosed paragraphs and items close, stray end tags are ignored."""
+    """A forgiving tree: unclosed paragraphs and items close, stray end tags are ignored.
+
+    Time is linear in the page: end tags without an open element are known by
+    counts, and each step up closes an element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", "", None, False)
+        self.root = self.at = Node(ROOT, "", None, False)
+        self.root.nodes = [self.root]
+        self.blocks: dict[str, int] = {}  # open block elements by tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS:
-            self._end_open("p", BLOCKS - {"p"})
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            stop = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}.get(tag, {"dl", "select"})
-            self._end_open(tag, stop)
-        a = {k: v or "" for k, v in attrs}
-        in_article = self._inside(("article", "main"))
-        role = a.get("role", "").lower()
-        hard = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in a or a.get("aria-hidden") == "true"
-        hard = hard or role in ROLES or bool(HIDDEN.search(a.get("style", "")))
-        marks = [re.split("[-_]+", x.strip("-_")) for x in f"{a.get('class', '')} {a.get('id', '')}".split()]
-        marks = [x for x in marks if all(map(NOISE.fullmatch, x))] if tag not in ("html", "body") and tag not in ARTICLES else []
-        firm = any(map(LONG.fullmatch, sum(marks, [])))
-        soft = 2 if firm else int(bool(marks) or tag == "form" or role == "form")
-        classes = ".".join(sorted(set(re.sub(r"\d+", "N", a.get("class", "")).lower().split())))
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, self.at, hard or self.at.hard, soft)
-        self.at.items.append(node)
+        if tag in BLOCKS and (held := self.at.open.get("p")) is not None:
+            self._leave(held)
+        if tag in CLOSED_WITHIN and (held := self.at.open.get(tag)) is not None:
+            self._leave(held)
+        parent, a = self.at, {k: v or "" for k, v in attrs}
+        hard = parent.hard or tag in DROPPED or (tag == "header" and not parent.in_article)
+        soft, name = int(tag == "form"), tag
+        if a:
+            role = a.get("role", "").lower()
+            hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES or bool(HIDDEN.search(a.get("style", "")))
+            called = a.get("class", "")
+            if (called or "id" in a) and tag not in ("html", "body") and tag not in ARTICLES:
+                marks = [re.split("[-_]+", x.strip("-_")) for x in f"{called} {a.get('id', '')}".split()]
+                marks = [x for x in marks if all(map(NOISE.fullmatch, x))]
+                if any(map(LONG.fullmatch, sum(marks, []))):
+                    soft = 2
+                elif marks:
+                    soft = 1
+            soft = soft or int(role == "form")
+            if called:
+                name = ".".join([tag, *sorted(set(re.sub(r"\d+", "N", called).replace(">", "_").lower().split()))])
+        node = Node(tag, name, parent, hard, soft)
+        parent.items.append(node)
+        self.root.nodes.append(node)
         if tag not in VOID:
             self.at = node
+            if tag in BLOCKS:
+                self.blocks[tag] = self.blocks.get(tag, 0) + 1
+            else:
+                counts = node.block.inline
+                if counts is None:
+                    counts = node.block.inline = {}
+                counts[tag] = counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
+        # an inline end tag does not close the blocks around it
+        if tag in BLOCKS:
+            if not self.blocks.get(tag):
                 return
-            if node.tag in BLOCKS and tag not in BLOCKS:
-                return  # an inline end tag does not close blocks around it
+        elif not (self.at.block.inline or {}).get(tag):
+            return
+        node = self.at
+        while node.tag != tag:
             node = node.parent
+        self._leave(node)
 
     def handle_data(self, data: str) -> None:
         self.at.items.append(data)
 
-    def _inside(self, tags: tuple[str, ...]) -> bool:
-        node = self.at
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
-
-    def _end_open(self, tag: str, stop: frozenset | set) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag == tag:
-                self.at = node.parent
+    def _leave(self, node: Node) -> None:
+        """Close all open elements down from the current one to ``node``."""
+        while True:
+            x = self.at
+            counts = self.blocks if x.tag in BLOCKS else x.block.inline
+            counts[x.tag] -= 1
+            self.at = x.parent
+            if x is node:
                 return
-            node = node.parent
 
 
 def parse(html: str | None) -> Node:
@@ -141,17 +188,9 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def _walk(root: Node) -> Iterator[Node]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
-
-
 def prose(root: Node) -> dict[int, int]:
     """Characters outside links and noise below each element."""
-    nodes = list(_walk(root))
+    nodes = root.nodes
     held = {id(x): 0 if x.noise or x.tag == "a" else sum(len(t.strip()) for t in x.items if isinstance(t, str)) for x in nodes}
     for x in reversed(nodes):
         if x.parent is not None:
@@ -165,20 +204,26 @@ def mark(root: Node, names: bool = True) -> None:
     An element of ``soft`` 1 that holds most of the page's prose is none,
     unless an article with prose lies outside it.
     """
-    nodes = list(_walk(root))
+    nodes = root.nodes
     for x in nodes:
         x.noise = x.hard
     if not names or not any(x.soft and not x.hard for x in nodes):
         return
     held = prose(root)
-    articles = [x for x in nodes if x.tag in ARTICLES and held[id(x)]]
-
-    def apart(x: Node, y: Node) -> bool:
-        return not any(a is y for a in _up(x)) and not any(a is x for a in _up(y))
-
+    above: dict[int, int] = {}  # articles with prose around each element, itself included
+    below: dict[int, int] = {}  # and in it, itself excluded
     for x in nodes:
-        most = x.soft == 1 and 2 * held[id(x)] > held[id(root)] and not any(apart(x, y) for y in articles)
-        x.noise = x.hard or (x.soft and not most) or (x.parent is not None and x.parent.noise)
+        own = int(x.tag in ARTICLES and held[id(x)] > 0)
+        above[id(x)] = own + (above[id(x.parent)] if x.parent is not None else 0)
+        below[id(x)] = 0
+    for x in reversed(nodes):
+        if x.parent is not None:
+            below[id(x.parent)] += below[id(x)] + int(x.tag in ARTICLES and held[id(x)] > 0)
+    articles = below[id(root)]
+    for x in nodes:
+        alone = above[id(x)] + below[id(x)] == articles
+        most = x.soft == 1 and 2 * held[id(x)] > held[id(root)] and alone
+        x.noise = x.hard or (x.soft > 0 and not most) or (x.parent is not None and x.parent.noise)
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -187,40 +232,33 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def scores(root: Node, decay: float) -> dict[int, tuple[Node, float]]:
-    """Prose of each container: characters of its paragraphs outside links and furniture."""
+def scores(root: Node, decay: float, links: bool = False) -> dict[int, tuple[Node, float]]:
+    """Prose of each container: characters of its paragraphs outside furniture, and outside links unless ``links``."""
     found: dict[int, tuple[Node, float]] = {}
 
-    def add(node: Node | None, x: float) -> None:
-        while node is not None and node.tag not in CONTAINERS:
-            node = node.parent
-        if node is not None and not node.noise:
+    def add(node: Node, x: float) -> None:
+        if not node.noise:
             found[id(node)] = (node, found.get(id(node), (node, 0.0))[1] + x)
 
-    for node in _walk(root):
-        if node.noise or node.tag == "a":
+    for node in root.nodes:
+        if node.noise or (node.tag == "a" and not links):
             continue
         chars = sum(len(x.strip()) for x in node.items if isinstance(x, str))
         if not chars:
             continue
-        block = node
-        while block.parent is not None and block.tag not in PROSE:
-            block = block.parent
-        holder = block if block.tag in CONTAINERS else block.parent
-        while holder is not None and holder.tag not in CONTAINERS:
-            holder = holder.parent
+        holder = node.para.holder
         add(holder, chars)
-        if holder is not None:
-            add(holder.parent, chars * decay)
+        if holder.parent is not None:
+            add(holder.parent.holder, chars * decay)
     return found
 
 
 def best(root: Node, params: ExtractParams) -> Node | None:
-    """The container of the most prose, lifted; if names leave none, as if there were no names."""
-    found = scores(root, params.decay)
+    """The container of the most prose, lifted; if there is none, as if links were prose, and then as if there were no names."""
+    found = scores(root, params.decay) or scores(root, params.decay, links=True)
     if not found:
         mark(root, names=False)
-        found = scores(root, params.decay)
+        found = scores(root, params.decay) or scores(root, params.decay, links=True)
     # ties go to the container that comes first in the page
     return lift(root, max(found.values(), key=lambda x: x[1])[0], params.spare) if found else None
 
@@ -272,7 +310,9 @@ def text_of(top: Node) -> str:
 
 def text_at(root: Node, path: str) -> str:
     """The text of all containers with this path, in page order."""
-    fits = [x for x in _walk(root) if x.tag in CONTAINERS and not x.noise and path.endswith(x.name) and x.path() == path]
+    hashed = path.startswith("#")
+    at = int(path[1:17], 16) if hashed else path.count(">") + 1 if path else 0
+    fits = [x for x in root.nodes if (x.key if hashed else x.depth) == at and x.tag in CONTAINERS and not x.noise and x.path() == path]
     return "\n".join(text for x in fits if (text := text_of(x)))
 
 
@@ -308,10 +348,15 @@ def host_paths(pages: DataFrame, params: ExtractParams = ExtractParams(), url: s
 def extract(pages: DataFrame, params: ExtractParams = ExtractParams(), url: str = "url", html: str = "html") -> DataFrame:
     """Every row of ``pages`` without ``html``, with ``text`` and ``text_path``.
 
-    Null or empty html, and pages without prose, give an empty text. Pages
-    without a host share the host "". The table of winning paths is written
-    first: Spark broadcasts it if its files are under the broadcast threshold
-    and joins by shuffle beyond. Columns named like the added ones are replaced.
+    Null or empty html, and pages without any text, give an empty text; a page
+    without a body, or of bare text, is its own container. Pages without a
+    host share the host "". Of containers that tie the first of the page
+    wins, of paths that tie the first by text. Repeated rows stay, and each
+    votes; an empty table gives an empty table. Whole pages are read in time
+    linear in their length, however deep they nest. The table of winning paths
+    is written first: Spark broadcasts it if its files are under the broadcast
+    threshold and joins by shuffle beyond. Columns named like the added ones
+    are replaced.
     """
     winners = materialize(host_paths(pages, params, url, html), "host-paths")
     rest = [c for c in pages.columns if c not in (html, "text", "text_path", "__host", "paths")]

@@ -15,9 +15,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     # a page shows the document whose number is in its path, so that document's label is the url's
-    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})", 1)
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]+)", 1)
     spread = F.lit(-1) - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40))  # urls without a number match nothing, and not in one task
-    pages = pages.withColumn("url_key", F.when(number != "", number.cast("long")).otherwise(spread))
+    pages = pages.withColumn("url_key", F.when(F.length(number).between(1, 18), number.cast("long")).otherwise(spread))
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("url_key"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
     labels = labels.groupBy("url_key").agg(F.max("bad").alias("bad"))
     out = url_filter.judge(pages, labels)
@@ -89,6 +89,8 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+SQL["op1_url_filter"] = url_filter.judge_sql("CASE WHEN length(regexp_extract(path, '/([0-9]+)', 1)) BETWEEN 1 AND 18 THEN CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) END")
+
 SQL["op2_chat_format"] = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, t, CASE WHEN t = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(t)),
 e AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 23 AS chars FROM rows)
