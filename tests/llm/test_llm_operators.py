@@ -282,7 +282,7 @@ def test_local_search_empties_bins():
         ([6, 6, 4, 4], [[0], [1], [2, 3]], 2),  # moves
         ([5, 3, 3, 2, 2, 5], [[0, 1], [2, 3, 4], [5]], 2),  # two for one or one for two
     ):
-        out = packing.improve(bins, np.array(lengths), 10, 10)
+        out = packing.improve(bins, np.array(lengths), 10)
         assert len(out) == want
         assert sorted(i for b in out for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 10 for b in out)
@@ -295,7 +295,7 @@ def test_edited_fingerprints(spark, docs):
     for frame in (docs, odd_docs(spark).filter("doc_id is null or doc_id <> 4").toPandas(), docs.head(1)):
         frame = frame.assign(text=frame["text"].fillna("").astype(str))
         order = frame.sort_values("doc_id", na_position="first").reset_index(drop=True)
-        got = simhash.edited_fingerprints(spark.createDataFrame([(None if pd.isna(k) else int(k), t) for k, t in zip(frame["doc_id"], frame["text"])], "doc_id long, text string"), simhash.EditParams(range_rows=16)).toPandas()
+        got = simhash.edited_fingerprints(spark.createDataFrame([(None if pd.isna(k) else int(k), t) for k, t in zip(frame["doc_id"], frame["text"])], "doc_id long, text string")).toPandas()
         assert len(got) == len(order)
         of = simhash.TermFingerprint()
         got = {None if pd.isna(r.doc_id) else int(r.doc_id): r for r in got.itertuples()}
@@ -375,10 +375,10 @@ def test_ann_recall_and_odd_vectors(spark):
     x[:900] = x[0]  # equal vectors: ties go to the smaller id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [1.0] * 3), (5080, [None] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    got = ann.search(frame, F.col("vec_id") % 20 == 0, ann.AnnParams(sample=1500, partitions=8, block_rows=400)).toPandas()
+    got = ann.search(frame, F.col("vec_id") % 20 == 0, ann.AnnParams(sample=1500, part_rows=400, block_rows=100, query_rows=40)).toPandas()
     d, hit, total = x.astype("float64"), 0, 0
     for q in range(0, 3000, 20):
-        s = (d * d[q]).sum(1)
+        s = (d * d[q]).cumsum(1)[:, -1]  # from the first component to the last, as SQL sums
         order = [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q][:20]
         g = got[got.query_id == q].sort_values("rank")
         assert list(g["rank"]) == list(range(1, 21))

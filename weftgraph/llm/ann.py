@@ -3,7 +3,7 @@
 A sample's neighbour graph is cut into balanced partitions; a small
 classifier learns which partitions hold a vector's neighbours and routes every
 row to one partition and every query to its most probable ones, whose rows are
-then ranked exactly.
+then ranked exactly. The number of partitions follows the table.
 """
 
 from __future__ import annotations
@@ -16,44 +16,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_batches
+from weftgraph.llm.common import sampled
 from weftgraph.plans.stage import materialize
 
 
 @dataclass(frozen=True)
 class AnnParams:
-    """Fitted on at most ``sample`` rows; ``partitions`` of them, ``neighbours`` in the graph.
-
-    As many partitions are probed as give ``recall`` on ``trial`` held-out
-    sample rows. A block holds about ``block_rows`` rows or queries.
+    """A partition is meant to hold about ``part_rows`` rows, so their number grows with the table, up to ``max_partitions``.
+
+    Fitted on about ``sample`` rows, or ``part_sample`` a partition if that is
+    more (so at most 65,536 on the driver), ``neighbours`` of each in the
+    graph. A query probes its most probable partitions until they hold the
+    probability that gives ``recall`` on ``trial`` held-out sample rows. A
+    block is at most about ``block_rows`` rows, met by about ``query_rows``
+    queries in one task.
     """
 
     k: int = 20
+    part_rows: int = 512
+    max_partitions: int = 4096
     sample: int = 8192
-    partitions: int = 16
+    part_sample: int = 16
     neighbours: int = 20
     hidden: int = 96
     epochs: int = 12
     recall: float = 0.95
     trial: int = 512
     block_rows: int = 4096
+    query_rows: int = 65_536
     seed: int = 5
 
+    def partitions(self, rows: int) -> int:
+        """A power of two."""
+        parts = 1
+        while parts < self.max_partitions and parts * self.part_rows < rows:
+            parts *= 2
+        return parts
+
 
 @dataclass
 class Router:
-    """A perceptron with one hidden layer; ``probes`` partitions are searched."""
+    """A perceptron with one hidden layer over ``parts`` partitions; those of probability ``mass`` are searched."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
-    sample_recall: float
+    mass: float = 1.0
+    sample_recall: float = 1.0
+    probes: float = 1.0
+
+    @property
+    def parts(self) -> int:
+        return self.w2.shape[1]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partitions by falling probability, and the probability before each."""
+        z = self.scores(x)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, axis=1)
+        return order, np.cumsum(p, axis=1) - p
+
 
 def usable(vec: Column, dim: int) -> Column:
     """Not null, of ``dim`` components, all finite, not all zero."""
@@ -88,15 +116,17 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, seed: int,
                 labels[at[np.argsort(c @ v[0])[len(at) // 2 :]]] += 1 << level
     cap, rng = int(np.ceil(len(x) / parts * slack)), np.random.default_rng(seed)
     size = np.bincount(labels, minlength=parts)
+    # neighbours in both directions, one list a vertex
+    ends = np.concatenate([graph.ravel(), np.repeat(np.arange(len(x), dtype=np.int32), graph.shape[1])])
+    starts = np.concatenate([np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()])
+    ends = ends[np.argsort(starts, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(starts, minlength=len(x)))]
     for _ in range(sweeps):
-        near = np.zeros((len(x), parts), dtype=np.int32)
-        rows = np.repeat(np.arange(len(x)), graph.shape[1])
-        np.add.at(near, (rows, labels[graph.ravel()]), 1)
-        np.add.at(near, (graph.ravel(), labels[rows]), 1)
         moved = 0
         for v in rng.permutation(len(x)):
-            to, own = int(near[v].argmax()), labels[v]
-            if to != own and near[v, to] > near[v, own] and size[to] < cap:
+            near, count = np.unique(labels[ends[at[v] : at[v + 1]]], return_counts=True)
+            to, own = near[count.argmax()], labels[v]
+            if to != own and count.max() > count[near == own].sum() and size[to] < cap:
                 labels[v] = to
                 size[to] += 1
                 size[own] -= 1
@@ -106,18 +136,20 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, seed: int,
     return labels
 
 
-def train_router(x: np.ndarray, target: np.ndarray, params: AnnParams) -> Router:
-    """Adam on cross entropy against the shares of each vector's neighbours by partition."""
+def train_router(x: np.ndarray, near: np.ndarray, parts: int, params: AnnParams) -> Router:
+    """Adam on cross entropy against the shares of each vector's neighbours by partition; ``near`` (n, k) are their partitions."""
     rng = np.random.default_rng(params.seed)
-    d, parts = x.shape[1], target.shape[1]
+    d = x.shape[1]
     theta = [rng.normal(0, (2 / d) ** 0.5, (d, params.hidden)), np.zeros(params.hidden), rng.normal(0, params.hidden**-0.5, (params.hidden, parts)), np.zeros(parts)]
     m, v, t = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta], 0
     for _ in range(params.epochs):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
+            target = np.zeros((len(at), parts))
+            np.add.at(target, (np.repeat(np.arange(len(at)), near.shape[1]), near[at].ravel()), 1 / near.shape[1])
             h = np.maximum(x[at] @ theta[0] + theta[1], 0)
             z = h @ theta[2] + theta[3]
             p = np.exp(z - z.max(1, keepdims=True))
-            g = (p / p.sum(1, keepdims=True) - target[at]) / len(at)
+            g = (p / p.sum(1, keepdims=True) - target) / len(at)
             back = (g @ theta[2].T) * (h > 0)
             grads = [x[at].T @ back, back.sum(0), h.T @ g, g.sum(0)]
             t += 1
@@ -125,39 +157,38 @@ def train_router(x: np.ndarray, target: np.ndarray, params: AnnParams) -> Router
                 m[i] = 0.9 * m[i] + 0.1 * gr
                 v[i] = 0.999 * v[i] + 0.001 * gr * gr
                 theta[i] = theta[i] - 0.003 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return Router(*theta, probes=parts, sample_recall=1.0)
+    return Router(*theta)
 
 
-def fit(sample: np.ndarray, params: AnnParams) -> Router:
-    """Graph, partition, classifier, and the number of probes that the recall needs.
+def fit(sample: np.ndarray, params: AnnParams, parts: int) -> Router:
+    """Graph, partition, classifier, and the probability mass that the recall needs.
 
     The last ``trial`` rows of the sample only test; the router has not seen
-    them. Fewer than 16 rows a partition: one partition, searched whole.
+    them. Fewer than 16 rows a partition: fewer partitions; one is searched
+    whole.
     """
-    parts = params.partitions
     while parts > 1 and len(sample) < 16 * parts:
         parts //= 2
     if parts <= 1:
         d = sample.shape[1] if sample.ndim == 2 else 1
-        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
+        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     held = min(params.trial, len(sample) // 8)
     x, test = sample[:-held], sample[-held:]
     graph = neighbour_graph(x, params.neighbours)
     labels = balanced_partition(x, graph, parts, params.seed)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), labels[graph.ravel()]), 1.0)
-    router = train_router(x, target / target.sum(1, keepdims=True), params)
-    placed = router.scores(sample).argmax(1)
+    router = train_router(x, labels[graph], parts, params)
+    placed = np.concatenate([router.scores(x).argmax(1) for x in np.array_split(sample, -(-len(sample) // 4096))])
     s = test @ sample.T
     s[np.arange(held), len(x) + np.arange(held)] = -np.inf
     k = min(params.k, len(sample) - 1)
     true = placed[np.argpartition(-s, k - 1, axis=1)[:, :k]]
-    order = np.argsort(-router.scores(test), axis=1)
+    order, before = router.ranked(test)
     rank = np.argsort(order, axis=1)
-    need = np.take_along_axis(rank, true, axis=1)  # probes that reach each true neighbour
-    reach = [(need < p).mean() for p in range(1, parts + 1)]
-    router.probes = next(p for p, r in enumerate(reach, 1) if r >= params.recall or p == parts)
-    router.sample_recall = float(reach[router.probes - 1])
+    # a partition is probed if less than the mass lies before it
+    need = np.take_along_axis(before, np.take_along_axis(rank, true, axis=1), axis=1)
+    router.mass = float(np.quantile(need, params.recall, method="higher")) + 1e-9
+    router.sample_recall = float((need < router.mass).mean())
+    router.probes = float((before < router.mass).sum(1).mean())
     return router
 
 
@@ -179,7 +210,8 @@ def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k:
     """Each query's best k of the candidates but itself: (query, vec, score), ties to the smaller id.
 
     One matrix product selects, with all near ties; the scores returned are
-    row sums in a fixed order, so equal vectors score equally anywhere.
+    sums from the first component to the last, so equal vectors score equally
+    anywhere.
     """
     out: tuple[list, list, list] = ([], [], [])
     for a in range(0, len(q), block):
@@ -192,7 +224,7 @@ def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k:
             else:
                 at = np.arange(len(row))
             at = at[c_id[at] != own]
-            exact = (c[at] * q[a + i]).sum(axis=1)
+            exact = (c[at] * q[a + i]).cumsum(axis=1)[:, -1]
             best = np.lexsort((c_id[at], -exact))[:k]
             out[0].append(np.full(len(best), own))
             out[1].append(c_id[at][best])
@@ -201,52 +233,94 @@ def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k:
     return cat(out[0], "int64"), cat(out[1], "int64"), cat(out[2], "float64")
 
 
+def blocks_of(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Ranks queries against blocks (``FOUND``): rows sorted by (part, salt, chunk, asks), so a block comes before its queries.
+
+    Holds one block and one batch of queries, however many queries there are.
+    """
+    key, held, block = None, [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        of = pdf[["part", "salt", "chunk"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:]):
+            rows = pdf.iloc[a:b]
+            if key != tuple(of[a]):
+                key, held, block = tuple(of[a]), [], None
+            asks = rows["asks"].to_numpy(dtype=bool)
+            if not asks.all():
+                held.append((rows["vec_id"].to_numpy()[~asks], matrix(rows["vec"][~asks])))
+                block = None
+            if asks.any() and held:
+                if block is None:
+                    block = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                q, c, score = nearest(rows["vec_id"].to_numpy()[asks], matrix(rows["vec"][asks]), *block, k)
+                yield pd.DataFrame({"query_id": q, "vec_id": c, "score": score})
+
+
+def usable_rows(rows: DataFrame, is_query: Column, id: str, vec: str) -> tuple[DataFrame, int]:
+    """``(vec_id, vec, asks)`` of the rows that take part, repeated rows once, and their dimension."""
+    dim = dimension(rows, vec)
+    picked = rows.select(F.col(id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    good = picked.filter(usable(F.col("vec"), dim) & F.col("vec_id").isNotNull()) if dim else picked.limit(0)
+    return good.dropDuplicates(["vec_id", "vec", "asks"]), dim
+
+
 def search(rows: DataFrame, is_query: Column, params: AnnParams = AnnParams(), id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``RESULT``: the nearest rows of each query row, by inner product in double precision.
 
     Vectors that are null, zero, of another length than most, or with null or
-    non-finite components neither ask nor answer. Every usable row is indexed.
-    Rows of one partition are dealt by hash into blocks, queries too, and each
-    pair of blocks is one task of bounded size. Rows with equal ids do not
-    find each other. A third of all rows being equal vectors costs nothing
-    extra: blocks are by rows, not by vectors.
+    non-finite components neither ask nor answer, nor do null ids. Every other
+    row is indexed. Rows with equal ids do not find each other, equal rows
+    count once; an id that asks with several vectors gets the best of all.
+    Ties go to the smaller id. An empty table gives an empty one; other
+    columns, whatever their names, take no part.
+
+    Queries go to the blocks of the partitions that they probe, as many copies
+    as blocks; the index is copied only where one partition is asked by more
+    than ``query_rows``. Of equal vectors only the ``k`` + 1 smallest ids can
+    be found by a query, so no more are indexed: a third of all rows being
+    equal makes no large block.
     """
     spark = rows.sparkSession
-    small_batches(spark, 4096)
-    dim = dimension(rows, vec)
-    picked = rows.select(F.col(id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), is_query.alias("asks"))
-    good = picked.filter(usable(F.col("vec"), dim) & F.col("vec_id").isNotNull()) if dim else picked.limit(0)
-    drawn = good.select("vec", F.xxhash64(F.lit(params.seed), "vec_id").alias("h")).orderBy("h").limit(params.sample).select("vec").toPandas()
-    if drawn.empty:
+    good, _ = usable_rows(rows, is_query, id, vec)
+    good = materialize(good.withColumn("key", F.xxhash64("vec")), "vectors")
+    total = good.count()
+    if not total:
         return spark.createDataFrame([], RESULT)
+    parts = params.partitions(total)
+    bound = max(params.sample, params.part_sample * parts)
+    drawn = sampled(good.select("vec_id", "vec"), F.xxhash64(F.lit(params.seed), "vec_id", "vec"), bound, total).toPandas()
+    drawn = drawn.sort_values("vec_id", kind="stable")  # so that reruns fit alike
     sample = matrix(drawn["vec"])
-    sample = sample[np.random.default_rng(params.seed).permutation(len(sample))]
-    router = fit(sample, params)
+    router = fit(sample[np.random.default_rng(params.seed).permutation(len(sample))], params, parts)
+    held = spark.sparkContext.broadcast(router)  # 8 bytes times hidden units times partitions
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        router = held.value
         for pdf in batches:
             if len(pdf):
-                order = np.argsort(-router.scores(matrix(pdf["vec"])), axis=1, kind="stable")
-                yield pdf.assign(part=order[:, 0].astype("int32"), probes=list(order[:, : router.probes].astype("int32")))
-
-    placed = materialize(good.mapInPandas(place, "vec_id long, vec array<double>, asks boolean, part int, probes array<int>"), "placed")
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
-    asked = placed.filter("asks").count()
-    salts = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // params.block_rows))) for p in range(max([*sizes, 0, router.w2.shape[1] - 1]) + 1)]), F.col("part") + 1)
-    chunks = max(1, -(-asked // params.block_rows))
+                order, before = router.ranked(matrix(pdf["vec"]))
+                probes = [o[b < router.mass].astype("int32") if a else np.zeros(0, "int32") for o, b, a in zip(order, before, pdf["asks"])]
+                yield pdf.assign(part=order[:, 0].astype("int32"), probes=probes)
+
+    placed = materialize(good.mapInPandas(place, "vec_id long, vec array<double>, asks boolean, key long, part int, probes array<int>"), "placed")
+    same = Window.partitionBy("key", "vec").orderBy("vec_id")
+    index = placed.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= params.k + 1).select("part", "vec_id", "vec")
+    index = materialize(index, "index")
+    asks = placed.filter("asks").select("vec_id", "vec", F.explode("probes").alias("part"))
+    # one row a partition that holds rows
+    sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    asked = asks.groupBy("part").agg(F.count(F.lit(1)).alias("queries"))
+    at_least = lambda n, each: F.greatest(F.ceil(n / each), F.lit(1)).cast("int")
+    plan = materialize(sizes.join(asked, "part").select("part", at_least(F.col("rows"), params.block_rows).alias("salts"), at_least(F.col("queries"), params.query_rows).alias("chunks")), "blocks")
     hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "vec"), n).cast("int")
-    index = placed.select("part", hashed(1, salts).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "vec")
-    asks = placed.filter("asks").select("vec_id", "vec", hashed(2, F.lit(chunks)).alias("chunk"), F.explode("probes").alias("part"))
-    asks = asks.filter(F.col("part").isin([int(p) for p in sizes]))
-    asks = asks.select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "chunk", F.lit(True).alias("asks"), "vec_id", "vec")
-
-    def rank_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        a, b, c = nearest(left["vec_id"].to_numpy(), matrix(left["vec"]), right["vec_id"].to_numpy(), matrix(right["vec"]), params.k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = index.join(plan, "part").select("part", hashed(1, F.col("salts")).alias("salt"), each(F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "vec")
+    right = asks.join(plan, "part").select("part", each(F.col("salts")).alias("salt"), hashed(2, F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "vec")
     by = ["part", "salt", "chunk"]
-    found = asks.groupBy(*by).cogroup(index.groupBy(*by)).applyInPandas(rank_block, FOUND)
+    dealt = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "asks")
+    found = dealt.mapInPandas(lambda batches: blocks_of(batches, params.k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")

@@ -143,7 +143,8 @@ def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_
 
     Turns are taken by (turn, role, text), nulls first; a null role or text is
     empty; a null conversation id is a conversation. Repeated rows are turns of
-    their own. Columns other than the four are ignored. Rows are dealt into
+    their own; an empty table gives an empty one. Columns other than the four
+    are ignored, whatever their names. Rows are dealt into
     ranges of (conversation, turn), so a conversation of any length is spread
     over tasks; it is cut where a range ends and at the first turn end past
     ``part_chars``. Markers are tokens of their own, so cuts at turn ends

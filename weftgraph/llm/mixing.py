@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.prefix import running_total
-from weftgraph.llm.common import word_count
+from weftgraph.llm.common import WORD, word_count
 from weftgraph.plans.stage import materialize
 
 
@@ -54,6 +54,11 @@ def targets(sources: DataFrame, params: MixParams) -> DataFrame:
     return s.select("source", "rows", "source_size", target.alias("target"))
 
 
+def mix_key(seed: int, id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of seed, id and text (nulls left out): a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), id.cast("string"), text)), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, params: MixParams = MixParams(), id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken, key)``, one row a row of ``docs``.
 
@@ -62,10 +67,12 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), id: str = "doc_id", so
     one taken may be cut. Null ids and sources are values of their own;
     repeated rows are taken row by row; a size is words unless ``size`` is
     given. The key depends on the id, the text and the seed alone, so reruns
-    agree. Only these narrow columns are shuffled.
+    agree. Only these narrow columns are shuffled. An empty table gives an
+    empty one; columns other than the three take no part. Sources are planned
+    in one task, one row each, so they are meant to be few.
     """
     words = word_count(F.col(text)) if size is None else size
-    key = F.xxhash64(F.lit(params.seed), F.col(id), F.col(text))
+    key = mix_key(params.seed, F.col(id), F.col(text))
     narrow = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), key.alias("key"))
     narrow = materialize(narrow, "mix-sizes")
     per = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
@@ -74,11 +81,9 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), id: str = "doc_id", so
     rows = left.join(right, F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.rows", "r.source_size", "r.target")
     # key ranges of about range_rows rows each: hot sources get more of them
     parts = F.greatest(F.ceil(F.col("rows") / params.range_rows), F.lit(1))
-    unit = (F.shiftrightunsigned("key", 1).cast("double")) / F.lit(float(1 << 63))
-    # unsigned order of the key is the order of its ranges
+    unit = F.col("key").cast("double") / F.lit(float(1 << 60))
     bucket = F.least(F.floor(unit * parts).cast("long"), parts - 1)
-    rows = rows.withColumn("place", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    run = running_total(rows, bucket, [F.col("place"), F.col("doc_id"), F.col("size")], F.col("size"), "upto", by=("source",))
+    run = running_total(rows, bucket, [F.col("key"), F.col("doc_id"), F.col("size")], F.col("size"), "upto", by=("source",))
     budget = F.floor("target").cast("long")
     own = F.greatest(F.col("source_size"), F.lit(1))
     full = F.floor(budget / own).cast("long")
@@ -92,23 +97,46 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), id: str = "doc_id", so
 def take(docs: DataFrame, plan: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = MixParams.seed) -> DataFrame:
     """The mixed rows themselves: each document once an epoch, a cut one with its first words, joined by one space.
 
-    Repeated rows (equal id and text) are matched up by number, so each gets
-    its own share.
+    Rows equal in id, source and text share what the plan takes of them: each
+    gets the whole epochs, the rest goes to the first ones. They are numbered
+    by one task a group; documents without words are in no mix and are left
+    out before. The texts are shuffled once, and joined by the key that they
+    are numbered by. An empty table gives an empty one; columns are kept as
+    they are, but ``n_chars`` follows a cut text.
     """
-    d = docs.withColumns({"__key": F.xxhash64(F.lit(seed), F.col(id), F.col(text)), "__id": F.col(id), "__src": F.col(source)})
-    again = Window.partitionBy("__id", "__src", "__key").orderBy(F.lit(0))
-    d = d.withColumn("__n", F.row_number().over(again))
-    same = Window.partitionBy("doc_id", "source", "key").orderBy(F.desc("taken"))
-    p = plan.filter("taken > 0").withColumn("__n", F.row_number().over(same))
-    p = p.select(F.col("doc_id").alias("__pid"), F.col("source").alias("__psrc"), F.col("key").alias("__pkey"), F.col("__n").alias("__pn"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    on = F.col("__id").eqNullSafe(F.col("__pid")) & F.col("__src").eqNullSafe(F.col("__psrc")) & (F.col("__key") == F.col("__pkey")) & (F.col("__n") == F.col("__pn"))
-    both = d.join(p, on)
+    same = lambda i, s, k: F.struct(i.alias("i"), s.alias("s"), k.alias("k"))  # noqa: E731  (nulls equal in a struct)
+    d = docs.filter(word_count(F.col(text)) > 0).withColumn("__k", same(F.col(id).cast("string"), F.col(source).cast("string"), mix_key(seed, F.col(id), F.col(text))))
+    d = d.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(F.lit(0))))
+    p = plan.groupBy(same(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("key")).alias("__k"))
+    p = p.agg(F.count(F.lit(1)).alias("__m"), F.sum("taken").alias("__sum"), F.max("size").alias("__size")).filter("__sum > 0")
+    both = d.join(p, "__k")
+    epochs = F.floor(F.col("__sum") / (F.col("__m") * F.col("__size")))
+    rest = F.col("__sum") - epochs * F.col("__m") * F.col("__size") - (F.col("__n") - 1) * F.col("__size")
+    taken = epochs * F.col("__size") + F.greatest(F.lit(0), F.least(rest, F.col("__size")))
+    both = both.withColumn("__taken", taken).filter("__taken > 0")
     full, over = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), full), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))
-    words = F.regexp_extract_all(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     out = both.withColumn("__cut", F.explode(copies))
     cut = F.when(F.col("__cut") > 0, F.array_join(F.slice(words, 1, F.greatest("__cut", F.lit(1))), " ")).otherwise(F.col(text))
     out = out.withColumn(text, cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def mix_sql(params: MixParams = MixParams()) -> str:
+    """The plan of ``mix`` over ``documents`` as plain SQL."""
+    weights = ", ".join(f"{w}.0::DOUBLE" for w in params.weights)
+    rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws('|', '{params.seed}', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [{weights}][1 + place % {len(params.weights)}] AS weight, source_size * {params.epochs} AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, (SELECT sum(source_size) FROM s) * {params.share} AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST {rows}), 0.0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+c AS (SELECT (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) AS common),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, weight * common) END AS target FROM l, c),
+b AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size {rows}), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(budget // greatest(source_size, 1) * size + greatest(0, least(size, budget % greatest(source_size, 1) - before)) AS BIGINT) END AS taken FROM b"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -17,31 +19,36 @@ from weftgraph.plans.stage import materialize
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bins between which exchanges are sought before any is drained.
-NEAR = 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @dataclass(frozen=True)
 class PackParams:
-    """``group_pieces`` pieces are packed together in one task; more fill better but take longer."""
+    """About ``group_pieces`` pieces are packed together in one task; more fill better but take longer."""
 
     tokenizer: str
     length: int = 1024
     end_id: int = 2
     group_pieces: int = 40_000
-    rounds: int = 60
 
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """The vocabulary of a byte-level BPE file by its bytes, if ids rise in the order of the merges; else None.
+    """The vocabulary of a byte-level BPE file by its bytes, if an encoder that knows it alone gives the same ids; else None.
 
-    With such ids merging the pair of smallest id is merging the first rule,
-    so an encoder that knows the ranks alone gives the same ids.
+    That is so if texts are split by ``PATTERN`` and in no other way (no
+    normalizer, no prefix space, no token that texts are searched for but
+    special ones), and if ids rise in the order of the merges: then merging
+    the pair of smallest id is merging the first rule.
     """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    if model.get("type", "BPE") != "BPE" or model.get("byte_fallback") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return None
+    if file.get("post_processor") or file.get("truncation") or file.get("padding") or not all(t.get("special") for t in file.get("added_tokens") or ()):
+        return None
+    odd = ("byte_fallback", "end_of_word_suffix", "continuing_subword_prefix", "dropout", "ignore_merges", "fuse_unk")
+    if model.get("type", "BPE") != "BPE" or any(model.get(x) for x in odd):
         return None
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     stands = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
@@ -95,7 +102,8 @@ def pieces_of(docs: DataFrame, params: PackParams, id: str = "doc_id", text: str
     """``(doc_id, piece, start, length, ids_crc32)``: whole documents, or pieces of which only the first is short.
 
     A null text is empty; every document ends with the end id, so none is
-    empty. Null ids stay null; repeated rows are packed each.
+    empty. Null ids stay null; repeated rows are packed each; an empty table
+    gives no pieces. Texts may be of any length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,150 +170,176 @@ class _Rooms:
         return need + (rest & -rest).bit_length() - 1 if rest else None
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int) -> list[list[int]]:
-    """Local search among underfull bins until one of them empties, again and again.
-
-    Moves that raise the sum of squared fills: put a piece of the emptiest
-    bin into another; exchange one piece for a smaller one; exchange two
-    pieces for one larger in total or one for two. The emptiest bin is the
-    source, so raising squared fill elsewhere drains it. Stops at the lower
-    bound, or after ``rounds`` bins that did not drain.
+class _Tops:
+    """For each key the roomiest bin that has it: heaps whose stale entries are dropped when they come up."""
+
+    def __init__(self, keys: int, live: dict[int, int]) -> None:
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(keys)]
+        self.room = np.zeros(keys, dtype=np.int64)
+        self.live = live  # the version of each bin that is in the index
+
+    def add(self, keys: list[int], bin: int, room: int) -> None:
+        entry = (-room, bin, self.live[bin])
+        for k in keys:
+            heapq.heappush(self.heaps[k], entry)
+            if room > self.room[k]:
+                self.room[k] = room
+
+    def clean(self, keys: list[int]) -> None:
+        for k in keys:
+            heap = self.heaps[k]
+            while heap and self.live.get(heap[0][1]) != heap[0][2]:
+                heapq.heappop(heap)
+            self.room[k] = -heap[0][0] if heap else 0
+
+    def bin(self, key: int) -> int:
+        return self.heaps[key][0][1]
+
+
+class _Underfull:
+    """The bins with room, indexed by the lengths and by the sums of two lengths that they hold."""
+
+    def __init__(self, size: int, lengths: np.ndarray) -> None:
+        self.size, self.lengths = size, lengths
+        self.items: dict[int, list[int]] = {}
+        self.room: dict[int, int] = {}
+        self.keys: dict[int, tuple[list[int], list[int]]] = {}
+        self.live: dict[int, int] = {}
+        self.stamp = 0
+        self.one, self.two = _Tops(size + 1, self.live), _Tops(size + 1, self.live)
+        self.by_room: list[tuple[int, int, int]] = []  # heap: emptiest first
+        self.tight: list[tuple[int, int]] = []  # sorted (room, bin)
+
+    def put(self, bin: int, items: list[int], room: int) -> None:
+        """Into the index; full bins stay out, as nothing can be gained with them."""
+        self.items[bin], self.room[bin] = items, room
+        if not room:
+            return
+        self.stamp += 1
+        self.live[bin] = self.stamp
+        held, count = np.unique(self.lengths[items], return_counts=True)
+        sums = np.unique(np.concatenate([(held[:, None] + held[None, :])[np.triu_indices(len(held), 1)], 2 * held[count > 1]]))
+        self.keys[bin] = (held.tolist(), sums.tolist())
+        self.one.add(self.keys[bin][0], bin, room)
+        self.two.add(self.keys[bin][1], bin, room)
+        heapq.heappush(self.by_room, (-room, bin, self.stamp))
+        bisect.insort(self.tight, (room, bin))
+
+    def out(self, bin: int) -> tuple[list[int], int]:
+        """Out of the index."""
+        if self.live.pop(bin, None) is not None:
+            singles, sums = self.keys.pop(bin)
+            self.one.clean(singles)
+            self.two.clean(sums)
+            del self.tight[bisect.bisect_left(self.tight, (self.room[bin], bin))]
+        return self.items.pop(bin), self.room.pop(bin)
+
+    def emptiest(self) -> int | None:
+        heap = self.by_room
+        while heap and self.live.get(heap[0][1]) != heap[0][2]:
+            heapq.heappop(heap)
+        return heap[0][1] if heap else None
+
+    def exchange(self, held: list[int]) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """The (bin, lengths into it, lengths out of it) that carries most tokens from ``held`` into a bin; None if there is none."""
+        if not self.tight:
+            return None
+        most = self.tight[-1][0]
+        sizes, count = np.unique(self.lengths[held], return_counts=True)
+        for need in sizes[::-1].tolist():  # a whole piece, into the tightest room
+            if need <= most:
+                return self.tight[bisect.bisect_left(self.tight, (need, -1))][1], (need,), ()
+        best: tuple | None = None  # (tokens, into, index, sum of lengths out)
+
+        def seek(total: int, into: tuple[int, ...], tops: _Tops) -> None:
+            nonlocal best
+            low = max(1, total - most)
+            rooms = tops.room[low:total]
+            fits = rooms >= total - np.arange(low, low + len(rooms))
+            if fits.any():
+                out = low + int(fits.argmax())
+                if best is None or total - out > best[0]:
+                    best = (total - out, into, tops, out)
+
+        listed = sizes.tolist()
+        for i, x in enumerate(listed):
+            seek(x, (x,), self.one)
+            seek(x, (x,), self.two)
+            for j in range(i if count[i] > 1 else i + 1, len(listed)):
+                seek(x + listed[j], (x, listed[j]), self.one)
+        if best is None:
+            return None
+        _, into, tops, out = best
+        bin = tops.bin(out)
+        if tops is self.one:
+            return bin, into, (out,)
+        inside = sorted(self.lengths[self.items[bin]].tolist())
+        a, b = 0, len(inside) - 1
+        while inside[a] + inside[b] != out:
+            a, b = (a + 1, b) if inside[a] + inside[b] < out else (a, b - 1)
+        return bin, into, (inside[a], inside[b])
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Local search between underfull bins until none can be emptied further.
+
+    The emptiest bin is the source. It gives a piece to another bin, or
+    exchanges one piece for a shorter one, two for one that is shorter than
+    both, or one for two, always with a bin at least as full as itself, so each step raises
+    the sum of squared fills; the one that carries most tokens is taken. A
+    source that is empty is dropped, one that can give nothing more is set
+    aside for this pass. All underfull bins are partners (they are indexed by
+    the lengths, and by the sums of two lengths, that they hold). Passes are
+    repeated until one changes nothing, a local optimum, or until the lower
+    bound is reached.
     """
-    fill = {b: int(lengths[items].sum()) for b, items in enumerate(bins) if items}
     content = {b: list(items) for b, items in enumerate(bins) if items}
     bound = -(-int(lengths.sum()) // size)
-    open_ = [b for b in sorted(fill, key=lambda b: (fill[b], b)) if fill[b] < size]
-    failed = 0
-    if len(content) > bound:  # gather the room that is left in few bins
-        near = {b: content[b] for b in open_[:NEAR]}
-        room = {b: size - fill[b] for b in near}
-        for _ in range(4 * NEAR):
-            if not _polish(near, room, lengths):
-                break
-        fill.update({b: size - r for b, r in room.items()})
-        for b in [b for b in near if not near[b]]:
-            del content[b], fill[b]
-        open_ = sorted((b for b in open_ if b in fill and fill[b] < size), key=lambda b: (fill[b], b))
-    while len(content) > bound and open_ and failed < rounds:
-        source = open_.pop(0)
-        others = open_[-256:] if len(open_) > 256 else open_  # the fullest of the underfull have the tightest rooms
-        trial = {b: list(content[b]) for b in others}
-        room = {b: size - fill[b] for b in others}
-        held = sorted(content[source], key=lambda i: -lengths[i])
-        if _drain(held, trial, room, lengths):
-            for b, items in trial.items():
-                content[b] = items
-                fill[b] = size - room[b]
-            del content[source], fill[source]
-            open_ = [b for b in open_ if fill[b] < size]
-            failed = 0
-        else:
-            failed += 1
+    changed = True
+    while changed and len(content) > bound:
+        changed, index = False, _Underfull(size, lengths)
+        for b, items in content.items():
+            index.put(b, items, size - int(lengths[items].sum()))
+        while len(content) > bound and (source := index.emptiest()) is not None:
+            held, room = index.out(source)
+            while held and (found := index.exchange(held)) is not None:
+                bin, into, out = found
+                items, left = index.out(bin)
+                for n, frm, to in [(n, held, items) for n in into] + [(n, items, held) for n in out]:
+                    piece = next(i for i in frm if lengths[i] == n)
+                    frm.remove(piece)
+                    to.append(piece)
+                moved = sum(into) - sum(out)
+                index.put(bin, items, left - moved)
+                content[bin], changed, room = items, True, room + moved
+            content[source] = held
+            if not held:
+                del content[source]
     return [content[b] for b in sorted(content)]
 
 
-def _polish(bins: dict[int, list[int]], room: dict[int, int], lengths: np.ndarray) -> bool:
-    """The move or exchange of one piece between two bins that raises squared fill most; False if there is none."""
-    best = None
-    for a, free in room.items():
-        if not free or not bins[a]:
-            continue
-        for b, more in room.items():
-            if b == a or more < free:
-                continue
-            for j in bins[b]:
-                for i in (None, *bins[a]):
-                    gain = int(lengths[j]) - (0 if i is None else int(lengths[i]))
-                    if 0 < gain <= free and (best is None or gain * (more - free + gain) > best[0]):
-                        best = (gain * (more - free + gain), gain, a, b, i, j)
-    if best is None:
-        return False
-    _, gain, a, b, i, j = best
-    bins[b].remove(j)
-    bins[a].append(j)
-    if i is not None:
-        bins[a].remove(i)
-        bins[b].append(i)
-    room[a] -= gain
-    room[b] += gain
-    return True
-
-
-def _drain(held: list[int], trial: dict[int, list[int]], room: dict[int, int], lengths: np.ndarray, budget: int = 48) -> bool:
-    """Empty ``held`` into the bins of ``trial`` by moves and exchanges; True if all pieces found a place."""
-    size_of = lambda i: int(lengths[i])
-    while held and budget:
-        budget -= 1
-        held.sort(key=lambda i: -lengths[i])
-        moved = False
-        for i in held:  # move: into the tightest room
-            fits = [b for b in room if room[b] >= size_of(i)]
-            if fits:
-                b = min(fits, key=lambda b: (room[b], b))
-                trial[b].append(i)
-                room[b] -= size_of(i)
-                held.remove(i)
-                moved = True
-                break
-        if moved:
-            continue
-        best = None  # (gain in the other bin, bin, out of it, into it)
-        pairs = [(held[x], held[y]) for x in range(len(held)) for y in range(x + 1, len(held))]
-        for b, free in room.items():
-            if not free:
-                continue
-            inside = trial[b]
-            for j in inside:
-                w = size_of(j)
-                for i in held:  # one for one
-                    gain = size_of(i) - w
-                    if 0 < gain <= free and (best is None or gain > best[0]):
-                        best = (gain, b, (j,), (i,))
-                for i, k in pairs:  # two for one
-                    gain = size_of(i) + size_of(k) - w
-                    if 0 < gain <= free and (best is None or gain > best[0]):
-                        best = (gain, b, (j,), (i, k))
-            for x in range(len(inside)):  # one for two
-                for y in range(x + 1, len(inside)):
-                    w = size_of(inside[x]) + size_of(inside[y])
-                    for i in held:
-                        gain = size_of(i) - w
-                        if 0 < gain <= free and (best is None or gain > best[0]):
-                            best = (gain, b, (inside[x], inside[y]), (i,))
-        if best is None:
-            return False
-        gain, b, out, into = best
-        for j in out:
-            trial[b].remove(j)
-            held.append(j)
-        for i in into:
-            held.remove(i)
-            trial[b].append(i)
-        room[b] -= gain
-    return not held
-
-
 def pack(pieces: DataFrame, params: PackParams) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of at most ``length`` tokens.
 
-    Pieces are dealt by hash into groups of about ``group_pieces``; a group is
+    Pieces are dealt by row number into groups of about ``group_pieces``, so
+    no repeated piece, null id or empty text makes a large group; a group is
     packed in one task, so memory is bounded and groups pack side by side.
     Full pieces need no search and take a sequence each. Sequence ids are
-    unique: group number times 2**32 plus the bin's place.
+    unique: group number times 2**32 plus the bin's place. No pieces give no
+    sequences.
     """
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // params.group_pieces))
-    # every column takes part, so repeated rows fall together but hot ids spread by piece
-    grouped = pieces.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
+    # written numbers, so a lost task deals its rows as before
+    grouped = pieces.withColumn("__g", F.pmod(F.xxhash64("__row"), F.lit(groups))).repartitionByRange(groups, "__g")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(pdf["__g"].iloc[0]) << 32
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "__row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy("int64")
         full = int((lengths >= params.length).sum())
-        bins = best_fit(lengths[full:], params.length)
-        bins = improve(bins, lengths[full:], params.length, params.rounds)
+        bins = improve(best_fit(lengths[full:], params.length), lengths[full:], params.length)
         seq, off = np.zeros(len(pdf), "int64"), np.zeros(len(pdf), "int64")
         seq[:full] = base + np.arange(full)
         for b, items in enumerate(bins):
@@ -313,7 +347,7 @@ def pack(pieces: DataFrame, params: PackParams) -> DataFrame:
             for i in items:
                 seq[full + i], off[full + i] = base + full + b, at
                 at += int(lengths[full + i])
-        out = pdf.drop(columns="__g")
+        out = pdf.drop(columns=["__g", "__row"])
         out["sequence_id"], out["offset"] = seq, off
         return out
 
@@ -321,4 +355,5 @@ def pack(pieces: DataFrame, params: PackParams) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, params: PackParams, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole documents to sequences: ``pieces_of``, then ``pack``. Columns other than the two take no part, whatever their names."""
     return pack(pieces_of(docs, params, id, text), params)

@@ -153,13 +153,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, params: QualityParams) -> Or
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), id: str = "doc_id", text: str = "text") -> Ordinal:
     """Fit on ``labels`` (doc_id, grade); null grades and ids do not count.
 
-    The chosen ids, at most ``sample``, are broadcast, so the documents are
-    scanned and not shuffled; features are hashed on the executors.
+    The chosen labels, at most ``sample``, are broadcast, so the documents are
+    scanned and not shuffled. Of several documents with a chosen id the one of
+    smallest text hash counts, merged before anything is shuffled, so at most
+    ``sample`` rows of features, hashed on the executors, reach the driver.
     """
     order = F.xxhash64(F.lit(params.seed), "doc_id", "grade")
     known = labels.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.select(F.col("doc_id").alias("__id"), F.col("grade").cast("int").alias("__grade"), order.alias("__h")).orderBy("__h", "__id", "__grade").limit(params.sample)
-    picked = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__grade", "__text", "__h", "__id")
+    chosen = known.select(F.col("doc_id").alias("__id"), F.col("grade").cast("int").alias("__grade"), order.alias("__h")).distinct()
+    chosen = chosen.orderBy("__h", "__id", "__grade").limit(params.sample)
+    picked = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    picked = picked.groupBy("__id", "__grade", "__h").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Features(params.bits)
@@ -176,9 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
 def score(docs: DataFrame, model: Ordinal, params: QualityParams = QualityParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with ``expected_grade``, ``tail_probability`` and ``keep``.
 
-    A null text is empty; empty texts have a feature of their own. Columns
-    with the added names are replaced. The model (8 bytes times 2**bits) goes
-    out with the tasks.
+    A null text is empty; empty texts have a feature of their own. Whole texts
+    are read, of any length. Repeated rows stay; an empty table gives an empty
+    one. Columns with the added names are replaced. The model (8 bytes times
+    2**bits) goes out with the tasks.
     """
     added = ("expected_grade", "tail_probability", "keep")
     rest = [c for c in docs.columns if c not in added]

@@ -51,7 +51,9 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = simhash.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the distinct fingerprints within 3 of 128 bits, searched for every hundredth document
+    return simhash.with_near(out, F.col("doc_id") % 100 == 0, simhash.TableParams(radius=3, bits=128, blocks=5)).drop("prints")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,15 @@ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
+SQL["op4_mix_sources"] = mixing.mix_sql()
+
+#: All pairs, summed from the first component to the last: equal where the table fills one partition, which is searched whole.
+SQL["op8_ann"] = """WITH e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings) AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
 SQL["op10_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM d)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,86 +102,92 @@ class EditParams:
     max_ranges: int = 4096
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 binary, prints array<long>, edited_prints array<long>, near_edited double, near_next double"
+#: ``edge`` 1: the first text of a range; 2: the last document of a range, without its successor; 0: any other document.
+RANGED = f"range int, edge int, text string, {EDITED}"
 
 
-def in_order(docs: DataFrame, params: EditParams, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, text, range, own)``: rows in ranges of ids, each range also holding the first row after it (own false).
+def lanes_of(fingerprint: bytes) -> list[int]:
+    return np.frombuffer(fingerprint, dtype=">i8").tolist()
 
-    The first of all follows the last. One shuffle of the texts; the driver
-    sees at most ``max_ranges`` cut points and range starts. Null ids come
-    first; equal ids are ordered by text, null as empty.
-    """
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = docs.select(F.col(id).cast("long").alias("doc_id"))
-    count = ids.count()
-    ranges = max(1, min(params.max_ranges, count // params.range_rows))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cuts = [int(c) for c in cuts]
-    spot = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(spot)
-    rows = rows.withColumn("range", place)
-    starts = ids.select(place.alias("range"), "doc_id").groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id")).alias("s")).orderBy("range").collect()
-    if not starts:
-        return rows.withColumn("own", F.lit(True))
-    before = {starts[i]["range"]: starts[i - 1]["range"] for i in range(len(starts))}
-    to = F.lit(None).cast("int")
-    pairs = [(r["range"], r["s"]["doc_id"]) for r in starts]
-    # a map from the id that opens a range to the range before it
-    known = [(i, before[r]) for r, i in pairs if i is not None]
-    if known:
-        table = F.map_from_arrays(F.array(*[F.lit(i).cast("long") for i, _ in known]), F.array(*[F.lit(b) for _, b in known]))
-        to = F.try_element_at(table, F.col("doc_id"))
-    null_first = [before[r] for r, i in pairs if i is None]
-    if null_first:
-        to = F.when(F.col("doc_id").isNull(), F.lit(null_first[0])).otherwise(to)
-    opens = to.isNotNull()
-    own = F.struct(F.col("range").alias("range"), F.lit(True).alias("own"))
-    extra = F.struct(to.alias("range"), F.lit(False).alias("own"))
-    spread = rows.withColumn("__p", F.explode(F.when(opens, F.array(own, extra)).otherwise(F.array(own))))
-    return spread.select("doc_id", "text", F.col("__p.range").alias("range"), F.col("__p.own").alias("own"))
 
+def edited(text: str, following: str) -> str:
+    """``text`` with its last floor(n/2) code points replaced by the first as many of ``following``."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
 
-def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document (``EDITED``): its fingerprint, and that of its text with the second half overwritten by the next document's beginning.
 
-    Of several rows that open the next range only the first counts. A single
-    document is its own next. Empty texts have the fingerprint zero.
+def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a row of ``docs``: its fingerprint, and that of its text with the second half overwritten by the next document's beginning.
+
+    ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next, prints)``; ``prints`` are the fingerprint's lanes.
+
+    Documents are in ascending order of ids, null ids first, equal ids by the
+    hash of the text; the first follows the last, and a single document is its
+    own next. Null texts are empty, and empty texts have the fingerprint zero.
+    Repeated rows stay. An empty table gives an empty one; columns other than
+    the two take no part.
+
+    One shuffle of the texts, into ranges of (id, hash of the text, random):
+    there are as many ranges as the session has shuffle partitions, and rows
+    equal in id and text, which may follow each other in any order, are spread
+    over them. A range does not see the next one, so it is written with its
+    first text and its last document, and these few rows are joined.
     """
-    placed = in_order(docs, params, id, text)
-    n = placed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = placed.repartition(int(n), "range").sortWithinPartitions("range", F.desc("own"), F.col("doc_id").asc_nulls_first(), "text")
-    names = [x.split()[0] for x in EDITED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = TermFingerprint(params.lanes, params.seed)
-        out: list[tuple] = []
-        last = None  # (range, id, text, fingerprint) that waits for its next
-        done = None  # the range whose end has been seen
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumns({"__h": F.xxhash64("text"), "__r": F.rand(params.seed)})
+    ranged = rows.repartitionByRange("doc_id", "__h", "__r").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
+    ranged_names, names = ([x.split()[0] for x in t.split(", ")] for t in (RANGED, EDITED))
 
-        def emit(nxt: str, nxt_print: bytes) -> None:
-            _, k, t, p = last
-            half = len(t) // 2
-            edited = t[: len(t) - half] + nxt[:half]
-            q = of(edited)
-            out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), p.hex(), q.hex(), likeness(p, q), likeness(p, nxt_print)))
+    def report(of: TermFingerprint, k: int | None, t: str, p: bytes, following: str, following_print: bytes) -> tuple:
+        e = edited(t, following)
+        q = of(e)
+        return (k, len(t), hashlib.sha256(e.encode()).digest(), lanes_of(p), lanes_of(q), likeness(p, q), likeness(p, following_print))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, at, last = TermFingerprint(params.lanes, params.seed), TaskContext.get().partitionId(), None
+        frame = lambda out: pd.DataFrame(out, columns=ranged_names).astype({"doc_id": "Int64", "n_chars": "Int64"})
         for pdf in batches:
-            for k, t, r, own in zip(pdf["doc_id"], pdf["text"], pdf["range"], pdf["own"]):
-                if not own:
-                    if last is not None and last[0] == r and done != r:
-                        emit(t, of(t))
-                        last, done = None, r
-                    continue
+            out: list[tuple] = []
+            for k, t in zip(pdf["doc_id"], pdf["text"]):
                 p = of(t)
-                if last is not None:
-                    emit(t, p)
-                last = (r, None if pd.isna(k) else int(k), t, p)
+                out.append((at, 1, t, *[None] * 7) if last is None else (at, 0, None, *report(of, *last, t, p)))
+                last = (None if pd.isna(k) else int(k), t, p)
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-                out = []
+                yield frame(out)
+        if last is not None:
+            yield frame([(at, 2, last[1], last[0], *[None] * 6)])
+
+    got = materialize(ranged.mapInPandas(run, RANGED), "edited")
+    # one row a range
+    heads = got.filter("edge = 1").select(F.col("range").alias("next"), F.col("text").alias("following"))
+    order = Window.orderBy("range")
+    after = got.filter("edge = 1").select("range").select("range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("next"))
+    ends = got.filter("edge = 2").select("range", "doc_id", "text").join(after, "range").join(heads, "next").select("doc_id", "text", "following")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = TermFingerprint(params.lanes, params.seed)
+        for pdf in batches:
+            out = [report(of, None if pd.isna(k) else int(k), t, of(t), f, of(f)) for k, t, f in zip(pdf["doc_id"], pdf["text"], pdf["following"])]
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    every = got.filter("edge = 0").select(*names).unionByName(ends.mapInPandas(close, EDITED))
+    sha = F.lower(F.hex("edited_sha256")).alias("edited_sha256")
+    strings = [F.concat(*[hexadecimal(F.col(c)[i]) for i in range(params.lanes)]).alias(n) for c, n in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
+    return every.select("doc_id", "n_chars", sha, *strings, "near_edited", "near_next", "prints")
 
-    return dealt.mapInPandas(run, EDITED)
+
+def with_near(rows: DataFrame, is_query: Column, params: "TableParams", prints: str = "prints") -> DataFrame:
+    """Add ``n_near`` to ``rows``: how many other distinct fingerprints of all rows lie within the radius of a query row's.
+
+    Rows that are no queries have a null. ``prints`` are arrays of 64-bit lanes.
+    """
+    rows = materialize(rows, "prints")
+    asks = F.coalesce(is_query, F.lit(False))
+    near = search(rows.filter(asks), rows, params, prints).groupBy("query").agg((F.count(F.lit(1)) - 1).alias("n_near"))  # all find themselves
+    found = rows.filter(asks).join(near, F.col(prints) == F.col("query")).drop("query")
+    return found.unionByName(rows.filter(~asks).withColumn("n_near", F.lit(None).cast("long")))
 
 
 # --- search within a Hamming radius -------------------------------------------
@@ -188,12 +195,31 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
 
 @dataclass(frozen=True)
 class TableParams:
-    """``blocks`` of the ``bits``; ``radius`` of them at most differ in a pair, so it shares ``blocks - radius`` and meets in one of the permuted tables."""
+    """``blocks`` of the ``bits``; ``radius`` of them at most differ in a pair, so it shares ``blocks - radius`` and meets in one of the permuted tables.
+
+    Fingerprints are longs, or of more than 64 bits arrays of longs.
+    """
 
     radius: int = 3
     bits: int = 64
     blocks: int = 6
 
+    def masks(self) -> list[list[int]]:
+        """What each table keeps, one signed mask a lane; bits are counted from the low end of the last lane."""
+        out, lanes = [], -(-self.bits // 64)
+        widths = block_widths(self.bits, self.blocks)
+        for kept in itertools.combinations(range(self.blocks), self.blocks - self.radius):
+            whole = sum(((1 << w) - 1) << at for at, w in (widths[i] for i in kept))
+            words = [whole >> 64 * i & (1 << 64) - 1 for i in reversed(range(lanes))]
+            out.append([x - (1 << 64) if x >> 63 else x for x in words])
+        return out
+
+    def lanes(self, fp: Column) -> list[Column]:
+        return [fp] if self.bits <= 64 else [fp[i] for i in range(-(-self.bits // 64))]
+
+    def distance(self, a: Column, b: Column) -> Column:
+        return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(self.lanes(a), self.lanes(b))), F.lit(0))
+
 
 def block_widths(bits: int, blocks: int) -> list[tuple[int, int]]:
     """(first bit from the low end, width) of each block."""
@@ -206,17 +232,22 @@ def block_widths(bits: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def table_keys(fp: Column, params: TableParams) -> Column:
-    """Array of the keys of a 64-bit fingerprint, one a table: the table's number and the bits it keeps."""
-    masks = []
-    widths = block_widths(params.bits, params.blocks)
-    for kept in itertools.combinations(range(params.blocks), params.blocks - params.radius):
-        mask = sum(((1 << w) - 1) << at for at, w in (widths[i] for i in kept))
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    return F.array(*[F.struct(F.lit(i).cast("short").alias("t"), fp.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])
+    """Array of the keys of a fingerprint, one a table: the table's number and the bits it keeps (of several lanes, their hash)."""
+
+    def kept(masks: list[int]) -> Column:
+        words = [x.bitwiseAND(F.lit(m).cast("long")) for x, m in zip(params.lanes(fp), masks)]
+        return words[0] if len(words) == 1 else F.xxhash64(*words)
+
+    return F.array(*[F.struct(F.lit(i).cast("short").alias("t"), kept(m).alias("bits")) for i, m in enumerate(params.masks())])
+
+
+def first_met(a: Column, b: Column, params: TableParams) -> Column:
+    """The first table in which two fingerprints meet."""
+    return F.array_position(F.zip_with(table_keys(a, params), table_keys(b, params), lambda x, y: x["bits"] == y["bits"]), True) - 1
 
 
 def near_pairs(prints: DataFrame, params: TableParams = TableParams(), fp: str = "fp") -> DataFrame:
-    """``(a, b)``, a < b: all pairs of *distinct* 64-bit fingerprints within the radius.
+    """``(a, b)``, a < b: all pairs of *distinct* fingerprints within the radius.
 
     ``prints`` must be distinct. Candidates share the kept bits of a table;
     only the first table in which a pair meets reports it, so no distinct is
@@ -225,18 +256,19 @@ def near_pairs(prints: DataFrame, params: TableParams = TableParams(), fp: str =
     keyed = prints.select(F.col(fp).alias("fp"), F.explode(table_keys(F.col(fp), params)).alias("k")).select("fp", "k.t", "k.bits")
     left = keyed.select(F.col("fp").alias("a"), "t", "bits")
     right = keyed.select(F.col("fp").alias("b"), "t", "bits")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= params.radius
+    near = params.distance(F.col("a"), F.col("b")) <= params.radius
     met = left.join(right, on=(left["t"] == right["t"]) & (left["bits"] == right["bits"]) & (F.col("a") < F.col("b")) & near)
-    first = F.array_position(F.zip_with(table_keys(F.col("a"), params), table_keys(F.col("b"), params), lambda x, y: x["bits"] == y["bits"]), True) - 1
-    return met.select("a", "b", left["t"].alias("t")).filter(first == F.col("t")).select("a", "b")
+    return met.select("a", "b", left["t"].alias("t")).filter(first_met(F.col("a"), F.col("b"), params) == F.col("t")).select("a", "b")
 
 
 def search(queries: DataFrame, prints: DataFrame, params: TableParams = TableParams(), fp: str = "fp") -> DataFrame:
     """``(query, found, distance)``: for each distinct query fingerprint all distinct fingerprints within the radius, itself included."""
-    q = queries.select(F.col(fp).alias("query")).distinct().withColumn("k", F.explode(table_keys(F.col("query"), params)))
-    p = prints.select(F.col(fp).alias("found")).distinct().withColumn("k", F.explode(table_keys(F.col("found"), params)))
-    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
-    return q.join(p, "k").withColumn("distance", distance).filter(distance <= params.radius).select("query", "found", "distance").distinct()
+    keyed = lambda df, name: df.select(F.col(fp).alias(name)).distinct().withColumn("k", F.explode(table_keys(F.col(name), params))).select(name, "k.t", "k.bits")
+    q, p = keyed(queries, "query"), keyed(prints, "found")
+    distance = params.distance(F.col("query"), F.col("found"))
+    met = q.join(p, on=(q["t"] == p["t"]) & (q["bits"] == p["bits"]) & (distance <= params.radius))
+    met = met.select("query", "found", distance.alias("distance"), q["t"].alias("t"))
+    return met.filter(first_met(F.col("query"), F.col("found"), params) == F.col("t")).select("query", "found", "distance")
 
 
 # --- components -----------------------------------------------------------------
@@ -291,7 +323,12 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 
 def near_duplicates(docs: DataFrame, params: TableParams = TableParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row a row of ``docs``; the smallest id among all linked texts."""
+    """``(doc_id, fp, component_id)``: one row a row of ``docs``; the smallest id among all linked texts.
+
+    Null, empty and wordless texts have the fingerprint zero and are linked
+    like any other; repeated rows stay; an empty table gives an empty one.
+    Columns other than the two take no part, whatever their names.
+    """
     return marked(docs, params, id, text).select("doc_id", "fp", "component_id")
 
 
@@ -317,16 +354,25 @@ def representatives(docs: DataFrame, params: TableParams = TableParams(), id: st
     """The rows of ``docs`` that stay: of each component one, that with the smallest id.
 
     Of several rows of that id, or of none if all ids are null, the first by
-    text stays. An id or null that is in several components stays in each.
+    text stays. An id or null that is in several components stays in each; of
+    rows equal in id and text any one. An empty table stays empty. Columns are
+    kept as they are, whatever their names.
+
+    Which (id, hash of the text) stays is decided on narrow rows. The texts
+    are shuffled once: repeated rows are merged before, so a group of them
+    does not meet in one task, and the join that follows is by the same key.
     """
-    marks = marked(docs, params, id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows are joined back on id and text; one non-null key for null ids
+    # one non-null key for null ids
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
-    kept = marks.select(key(F.col("doc_id")).alias("__k"), F.col("text_key").alias("__t"), F.col("root").alias("__root")).distinct()
+    marks = marked(docs, params, id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(marks.select(key(F.col("doc_id")).alias("__k"), F.col("text_key").alias("__t"), F.col("root").alias("__root")).distinct(), "kept")
+    several = kept.groupBy("__root").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__root")
+    unsure = materialize(kept.join(several, "__root"), "unsure")
     rows = docs.withColumns({"__k": key(F.col(id)), "__t": F.xxhash64(text)})
-    place = F.row_number().over(Window.partitionBy("__root").orderBy(text))
-    stay = rows.join(materialize(kept, "kept"), ["__k", "__t"]).withColumn("__place", place)
-    return stay.filter("__place = 1").select(*docs.columns)
+    if not unsure.isEmpty():  # texts of one id in one component: these are compared themselves
+        first = rows.select("__k", "__t", F.col(text).alias("__text")).join(unsure, ["__k", "__t"]).groupBy("__root").agg(F.min_by("__t", F.struct(F.col("__text").isNotNull(), "__text")).alias("__t"))
+        kept = kept.join(several, "__root", "left_anti").unionByName(unsure.join(first, ["__root", "__t"]))
+    return rows.dropDuplicates(["__k", "__t"]).join(kept.select("__k", "__t"), ["__k", "__t"], "left_semi").select(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -274,7 +274,14 @@ def read_archives(files: DataFrame, parallelism: int | None = None) -> DataFrame
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, params: WarcParams = WarcParams(), folder: str | None = None) -> DataFrame:
-    """Write all pages into archives in the shared folder and read them back."""
+    """Write all pages into archives in the shared folder and read them back.
+
+    One row a row of ``pages``. Null html is an empty payload, null ids and
+    urls stay null; of rows equal in id and payload all are responses if that
+    id is the group's largest. Pages may be of any length: one is one record.
+    An empty table gives an empty one; columns other than the three take no
+    part, whatever their names.
+    """
     folder = folder or new_path(spark, "warc")
     records = plan_records(pages, params)
     return read_archives(write_archives(records, folder, train_dictionary(pages, params), params))
