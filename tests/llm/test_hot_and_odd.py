@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, chat, mixing, packing, quality, queries, simhash, warc
+from weftgraph.llm import ann, chat, html_extract, mixing, packing, quality, queries, simhash, warc
 from weftgraph.plans.stage import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -273,3 +273,18 @@ def test_chat_and_archives_of_nothing(spark):
     got = sorted(map(str, ((r.page_id, r.payload_bytes, r.record_type) for r in warc.archive_pages(spark, pages).collect())))
     assert got == sorted(map(str, [(1, 2003, "response"), (1, 2003, "response"), (None, 0, "response")]))
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b c"), (None, "d e f"), (big + 1, "g h i")], "doc_id long, text string").coalesce(1)
+    ids = {big, None, big + 1}
+    assert {r.doc_id for r in packing.pack_documents(docs, packing.PackParams(queries.TOKENIZER)).collect()} == ids
+    assert {r.doc_id for r in simhash.edited_fingerprints(docs).collect()} == ids
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == ids
+    assert {r.doc_id for r in quality.score(docs, quality.train(docs, docs.select("doc_id", F.lit(2).alias("grade")).limit(0))).collect()} == ids
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert {r.conv_id for r in chat.digests(chat.format_conversations(turns, chat.ChatParams(queries.TOKENIZER))).collect()} == ids
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id for r in warc.archive_pages(spark, pages).collect()} == ids
+    assert {r.page_id for r in html_extract.extract(pages).collect()} == ids

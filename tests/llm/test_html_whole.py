@@ -103,5 +103,5 @@ def test_empty_table_repeated_rows_and_clashes(spark):
     rows = [(1, "http://h/", "<p>x y</p>"), (1, "http://h/", "<p>x y</p>"), (2, None, None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS paths", "2 AS host", "3 AS text_path", "4 AS extra")
     got = html_extract.extract(frame).collect()
-    assert sorted((r.page_id, r.text, r.extra) for r in got) == [(1, "x y", 4), (1, "x y", 4), (2, "", 4)]
+    assert sorted((r.page_id, r.text, r.paths, r.host, r.extra) for r in got) == [(1, "x y", 1, 2, 4), (1, "x y", 1, 2, 4), (2, "", 1, 2, 4)]
     assert html_extract.extract(frame.limit(0)).count() == 0

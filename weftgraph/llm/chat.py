@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import has_long_blank
+from weftgraph.llm.common import frame, has_long_blank, map_frames
 from weftgraph.llm.packing import PATTERN, byte_ranks
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -189,14 +189,14 @@ def format_conversations(rows: DataFrame, params: ChatParams, conv: str = "conv_
                 if chars >= params.part_chars:
                     flush(closed=False)
                 if len(out) >= 512 or ready >= 1 << 22:
-                    yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                    yield frame(out, names)
                     out, ready = [], 0
         if held:
             flush(closed=False)
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield frame(out, names)
 
-    return ordered.mapInPandas(run, SCHEMA)
+    return map_frames(ordered, run, SCHEMA)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
@@ -220,9 +220,9 @@ def read_back(parts: DataFrame) -> DataFrame:
                     held = [hashlib.sha256(x).digest() for x in held]
                 key = None if pd.isna(row.conv_id) else int(row.conv_id)
                 out.append((key, row.part, row.whole, len(said), held[0], len(loss), held[1], len(row.text), len(mask), int(mask.sum())))
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield frame(out, names)
 
-    return parts.mapInPandas(run, PIECE)
+    return map_frames(parts, run, PIECE)
 
 
 def digests(parts: DataFrame) -> DataFrame:
@@ -253,8 +253,8 @@ def digests(parts: DataFrame) -> DataFrame:
                 cur["loss"].update(row.loss)
                 cur["sums"] = [a + b for a, b in zip(cur["sums"], (row.n_turns, row.loss_chars, row.formatted_chars, row.n_tokens, row.loss_tokens))]
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield frame(out, names)
         if cur:
-            yield pd.DataFrame([close(cur)], columns=names).astype({"conv_id": "Int64"})
+            yield frame([close(cur)], names)
 
-    return dealt.mapInPandas(run, DIGEST)
+    return map_frames(dealt, run, DIGEST)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # A word is a run of anything but these ASCII white space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -31,6 +36,32 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as they are: a null does not turn a column of longs into doubles."""
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` with exact longs: where a column has nulls its numbers are objects, not doubles."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
+def apply_frames(groups: GroupedData, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``applyInPandas`` with exact longs."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def applied(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(run(table.to_pandas(integer_object_nulls=True)), schema=arrow, preserve_index=False)
+
+    return groups.applyInArrow(applied, schema)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -359,16 +360,15 @@ def extract(pages: DataFrame, params: ExtractParams = ExtractParams(), url: str
     are replaced.
     """
     winners = materialize(host_paths(pages, params, url, html), "host-paths")
-    rest = [c for c in pages.columns if c not in (html, "text", "text_path", "__host", "paths")]
+    rest = [c for c in pages.columns if c not in (html, "text", "text_path")]
     left = pages.select(*rest, F.col(html).alias("__html"), host_of(F.col(url)).alias("__host"))
-    joined = left.join(winners.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
+    joined = left.join(winners.select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "__host", "left").drop("__host")
     schema = pages.select(*rest).schema.add("text", "string").add("text_path", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [extract_one(h, [] if p is None else list(p), params) for h, p in zip(pdf["__html"], pdf["paths"])]
-            out = pdf[rest].copy()
-            out["text"], out["text_path"] = [x[0] for x in got], [x[1] for x in got]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [extract_one(h, p or [], params) for h, p in zip(batch.column("__html").to_pylist(), batch.column("__paths").to_pylist())]
+            made = [pa.array([x[i] for x in got], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, "text", "text_path"])
 
-    return joined.mapInPandas(run, schema)
+    return joined.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import has_long_blank
+from weftgraph.llm.common import apply_frames, has_long_blank, map_frames
 from weftgraph.plans.stage import materialize
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
@@ -126,7 +126,7 @@ def pieces_of(docs: DataFrame, params: PackParams, id: str = "doc_id", text: str
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     picked = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInPandas(run, PIECES)
+    return map_frames(picked, run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -351,7 +351,7 @@ def pack(pieces: DataFrame, params: PackParams) -> DataFrame:
         out["sequence_id"], out["offset"] = seq, off
         return out
 
-    return grouped.groupBy("__g").applyInPandas(run, schema)
+    return apply_frames(grouped.groupBy("__g"), run, schema)
 
 
 def pack_documents(docs: DataFrame, params: PackParams, id: str = "doc_id", text: str = "text") -> DataFrame:

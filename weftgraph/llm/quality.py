@@ -15,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,12 +191,27 @@ def score(docs: DataFrame, model: Ordinal, params: QualityParams = QualityParams
     schema = docs.select(*rest).schema.add("expected_grade", "double").add("tail_probability", "double").add("keep", "boolean")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         of = Features(m.bits)
-        for pdf in batches:
-            tail = m.tail(m.latent([of(t) for t in pdf[text]]))
+        for batch in batches:
+            tail = m.tail(m.latent([of(t) for t in batch.column(text).to_pylist()]))
             p = tail[:, params.good - 1]
-            yield pdf.assign(expected_grade=tail.sum(axis=1), tail_probability=p, keep=p >= params.keep_at)
+            made = [pa.array(x) for x in (tail.sum(axis=1), p, p >= params.keep_at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*rest, *added])
+
+    return docs.select(*rest).mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, model: Ordinal, params: QualityParams = QualityParams(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` would mark with ``keep``, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        of = Features(m.bits)
+        for batch in batches:
+            p = m.tail(m.latent([of(t) for t in batch.column(text).to_pylist()]))[:, params.good - 1]
+            yield batch.filter(pa.array(p >= params.keep_at))
 
-    return docs.select(*rest).mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)

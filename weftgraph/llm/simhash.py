@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import frame, map_frames
 from weftgraph.plans.stage import materialize
 
 # --- kernels ----------------------------------------------------------------
@@ -147,7 +148,6 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, at, last = TermFingerprint(params.lanes, params.seed), TaskContext.get().partitionId(), None
-        frame = lambda out: pd.DataFrame(out, columns=ranged_names).astype({"doc_id": "Int64", "n_chars": "Int64"})
         for pdf in batches:
             out: list[tuple] = []
             for k, t in zip(pdf["doc_id"], pdf["text"]):
@@ -155,11 +155,11 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
                 out.append((at, 1, t, *[None] * 7) if last is None else (at, 0, None, *report(of, *last, t, p)))
                 last = (None if pd.isna(k) else int(k), t, p)
             if out:
-                yield frame(out)
+                yield frame(out, ranged_names)
         if last is not None:
-            yield frame([(at, 2, last[1], last[0], *[None] * 6)])
+            yield frame([(at, 2, last[1], last[0], *[None] * 6)], ranged_names)
 
-    got = materialize(ranged.mapInPandas(run, RANGED), "edited")
+    got = materialize(map_frames(ranged, run, RANGED), "edited")
     # one row a range
     heads = got.filter("edge = 1").select(F.col("range").alias("next"), F.col("text").alias("following"))
     order = Window.orderBy("range")
@@ -170,9 +170,9 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
         of = TermFingerprint(params.lanes, params.seed)
         for pdf in batches:
             out = [report(of, None if pd.isna(k) else int(k), t, of(t), f, of(f)) for k, t, f in zip(pdf["doc_id"], pdf["text"], pdf["following"])]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield frame(out, names)
 
-    every = got.filter("edge = 0").select(*names).unionByName(ends.mapInPandas(close, EDITED))
+    every = got.filter("edge = 0").select(*names).unionByName(map_frames(ends, close, EDITED))
     sha = F.lower(F.hex("edited_sha256")).alias("edited_sha256")
     strings = [F.concat(*[hexadecimal(F.col(c)[i]) for i in range(params.lanes)]).alias(n) for c, n in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
     return every.select("doc_id", "n_chars", sha, *strings, "near_edited", "near_next", "prints")
@@ -319,7 +319,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             fps = np.array([shingle_fingerprint(t) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": fps})
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInPandas(run, FINGERPRINTS)
+    return map_frames(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")), run, FINGERPRINTS)
 
 
 def near_duplicates(docs: DataFrame, params: TableParams = TableParams(), id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import sampled
+from weftgraph.llm.common import frame, map_frames, sampled
 from weftgraph.plans.stage import materialize, new_path
 
 # Fixed values of the formats: frame magics and record framing.
@@ -234,7 +234,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, params: W
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
     manifest = f"{folder}/manifest"
-    records.mapInPandas(run, WRITTEN).write.parquet(manifest)
+    map_frames(records, run, WRITTEN).write.parquet(manifest)
     return records.sparkSession.read.schema(WRITTEN).parquet(manifest)
 
 
@@ -264,13 +264,13 @@ def read_archives(files: DataFrame, parallelism: int | None = None) -> DataFrame
                     out.append((int(page) if page else None, headers.get("warc-target-uri"), kind, block, size, digest, int(refers) if refers else None))
                     held += len(block)
                     if len(out) >= 512 or held > 8 << 20:
-                        yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield frame(out, names)
                         out, held = [], 0
                 if out:
-                    yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield frame(out, names)
 
     parts = parallelism or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path").repartition(parts).mapInPandas(run, READ)
+    return map_frames(files.select("path").repartition(parts), run, READ)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, params: WarcParams = WarcParams(), folder: str | None = None) -> DataFrame:
