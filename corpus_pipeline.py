@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     model = quality.train(docs, queries.graded(spark, sf_dir))
-    return quality.score(docs, model).filter("keep").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
