@@ -143,7 +143,7 @@ def test_prefix_and_numbering(spark):
     for v, x in values:
         total += x
         assert got[v] == total
-    assert [r.n for r in dense_ids(df, "v", "n", width=10).orderBy("v").collect()] == list(range(len(values)))
+    assert [r.n for r in dense_ids(df, "v", "n").orderBy("v").collect()] == list(range(len(values)))
 
 
 def test_partition_ranges(spark):
@@ -177,3 +177,170 @@ def test_generators(spark):
     ba = generate.barabasi_albert(spark, 100, 2, seed=1)
     assert ba.filter("src < dst").distinct().count() == 1 + 98 * 2
     assert generate.hyperbolic(spark, 200, seed=1).count() > 100
+
+
+# The published friendships of a karate club, 78 edges of 34 members.
+KARATE = {
+    0: (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31), 1: (2, 3, 7, 13, 17, 19, 21, 30), 2: (3, 7, 8, 9, 13, 27, 28, 32), 3: (7, 12, 13), 4: (6, 10), 5: (6, 10, 16), 6: (16,),
+    8: (30, 32, 33), 9: (33,), 13: (33,), 14: (32, 33), 15: (32, 33), 18: (32, 33), 19: (33,), 20: (32, 33), 22: (32, 33), 23: (25, 27, 29, 32, 33), 24: (25, 27, 31), 25: (31,), 26: (29, 33),
+    27: (33,), 28: (31, 33), 29: (32, 33), 30: (32, 33), 31: (32, 33), 32: (33,),
+}
+
+
+def karate(spark):
+    return graph(spark, [(a, b) for a, bs in KARATE.items() for b in bs])
+
+
+def test_karate_phase_trace(spark):
+    edges = karate(spark)
+    verts = sw.degrees(edges).cache()
+    assert (edges.count(), verts.count()) == (156, 34)
+    found = run_phase(edges, verts, mode="compat")
+    assert [(round(q, 6), n) for q, n in found.trace] == [(0.081114, 18), (0.088675, 11), (0.182035, 9), (0.15023, 9)]
+    assert len(groups(found.assign)) == 11
+    whole = louvain(edges, mode="compat", max_phases=2)
+    assert round(modularity.modularity(edges, whole.assign).first()[0], 6) == 0.408695 and len(groups(whole.assign)) == 4
+
+
+def plain_phase(half, sweeps, kind, alpha):
+    """Lagged scores of a compat phase with early stopping, vertex by vertex."""
+    vs = sorted({a for a, _, _ in half})
+    k = {v: sum(w for a, _, w in half if a == v) for v in vs}
+    c = 1 / sum(k.values())
+    past = cur = {v: v for v in vs}
+    active, p, held, scores = set(vs), dict.fromkeys(vs, 1.0), {}, []
+    for n in range(1, sweeps + 1):
+        deg, size = {}, {}
+        for v in vs:
+            deg[cur[v]] = deg.get(cur[v], 0) + k[v]
+            size[cur[v]] = size.get(cur[v], 0) + 1
+        target = dict(cur)
+        for v in active:
+            into = {}
+            for a, b, w in half:
+                if a == v:
+                    into[cur[b]] = into.get(cur[b], 0) + w
+            held[v] = into.get(cur[v], 0)
+            eix = held[v] - sum(w for a, b, w in half if a == b == v)
+            best = (0.0, None)
+            for y in sorted(into):
+                gain = 2 * (into[y] - eix) - 2 * k[v] * (deg[y] - deg[cur[v]] + k[v]) * c
+                if y != cur[v] and gain > best[0] + 1e-12:
+                    best = (gain, y)
+            y = best[1]
+            if y is not None and not (size[y] == size[cur[v]] == 1 and y > cur[v]):
+                target[v] = y
+        after = {}
+        for v in vs:
+            after[target[v]] = after.get(target[v], 0) + k[v]
+        scores.append(abs(sum(held.values()) * c - sum(x * x for x in after.values()) * c * c))
+        if n > 2:
+            for v in list(active):
+                if kind == 1 and target[v] == cur[v] == past[v]:
+                    active.discard(v)
+                if kind == 2 and cur[v] == past[v]:
+                    p[v] *= 1 - alpha
+                    if p[v] <= 0.02:
+                        active.discard(v)
+        if not active:
+            break
+        past, cur = cur, target
+    return scores
+
+
+@pytest.mark.parametrize(("kind", "alpha"), [(1, 1.0), (2, 0.9)])
+def test_early_stop_traces(spark, kind, alpha):
+    edges = karate(spark)
+    verts = sw.degrees(edges).cache()
+    found = run_phase(edges, verts, mode="compat", threshold=-1e9, early_stop=kind, alpha=alpha, max_iterations=5)
+    want = plain_phase([tuple(r) for r in edges.collect()], 5, kind, alpha)
+    assert [q for q, _ in found.trace] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("early_stop", [1, 2])
+def test_colours_with_early_stop(spark, early_stop):
+    edges = karate(spark)
+    found = louvain(edges, colored=True, early_stop=early_stop, max_phases=1, max_iterations=4, max_colors=4)
+    assert round(modularity.modularity(edges, found.assign).first()[0], 6) == round(found.q, 6) and found.q > 0
+
+
+# --- one key with most of the rows, sparse ids ------------------------------------
+
+
+def test_sparse_ids_are_numbered_over_ranges(spark):
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = spark.range(5000).select(F.xxhash64("id").alias("v"))
+        out = dense_ids(ids, "v", "n")
+        got = [(r.v, r.n) for r in out.collect()]
+        assert [n for _, n in sorted(got)] == list(range(5000))
+        # the plan has no window over all rows: what meets in one task is one row a range
+        from weftgraph.functions.prefix import by_ranges
+
+        ranges = by_ranges(ids, [F.col("v")]).groupBy("__b").count().collect()
+        assert len(ranges) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in ranges) < 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+
+
+def test_hub_moves_without_a_window(spark):
+    n = 400
+    edges = graph(spark, [(0, v) for v in range(1, n)] + [(v, v + 1) for v in range(1, n - 1, 2)] + [(0, 0)])
+    verts = sw.degrees(edges).cache()
+    c = sw.total_weight(edges).first()["c"]
+    scored = sw.gains(edges, sw.singletons(verts), verts, c)
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.v, r.comm): r.gain for r in scored.collect()}
+    k = {r.v: r.k for r in verts.collect()}
+    assert len(got) == 2 * (n - 1) + 2 * ((n - 1) // 2)
+    for (v, y), gain in got.items():
+        assert gain == pytest.approx(2.0 - 2.0 * k[v] * k[y] * c)
+
+
+def test_pair_counts_are_exact_beyond_doubles(spark):
+    n = 3_000_000_001
+    got = spark.createDataFrame([(n,), (n - 1,)], "n long")
+    want = sum(x * (x - 1) // 2 for x in (n, n - 1))
+    assert compare._pairs(got, "s").first()[0] == want
+    idx = [0, 1, 2, 3, 10**15, 10**15 + 1, 4 * 10**17]
+    pairs = generate._pairs(spark.createDataFrame([(i,) for i in idx], "i long"), "i").collect()
+    assert [r.b * (r.b - 1) // 2 + r.a for r in pairs] == idx and all(0 <= r.a < r.b for r in pairs)
+
+
+def test_clustered_and_hyperbolic_against_all_pairs(spark):
+    n, k, p = 300, 7, 0.5
+    inner = generate.clustered_random(spark, n, k, p, 0.0, 3).filter("src < dst").collect()
+    pairs = [(r.src, r.dst) for r in inner]
+    every = sum(1 for a, b in itertools.combinations(range(n), 2) if a % k == b % k)
+    assert len(set(pairs)) == len(pairs) and all(a % k == b % k for a, b in pairs)
+    assert abs(len(pairs) - p * every) < 5 * (every * p * (1 - p)) ** 0.5
+    full = generate.clustered_random(spark, 23, 4, 1.0, 0.0, 1).filter("src < dst").collect()
+    assert {(r.src, r.dst) for r in full} == {(a, b) for a, b in itertools.combinations(range(23), 2) if a % 4 == b % 4}
+    # hyperbolic: every pair of points by its distance
+    import math
+
+    import numpy as np
+
+    from weftgraph.functions.hashing import uniform
+
+    n = 250
+    v = F.col("id")
+    at = spark.range(n).select("id", uniform(5, v, F.lit("r")).alias("u"), uniform(5, v, F.lit("t"), high=2 * math.pi).alias("t")).orderBy("id").toPandas()
+    radius = 2 * math.log(2 * n / (math.pi * 6.0 * 0.25))
+    r = np.arccosh(1 + at["u"] * (math.cosh(radius) - 1)).to_numpy()
+    t = at["t"].to_numpy()
+    d = np.cosh(r)[:, None] * np.cosh(r) - np.sinh(r)[:, None] * np.sinh(r) * np.cos(t[:, None] - t)
+    want = {(a, b) for a, b in zip(*np.where(d <= math.cosh(radius))) if a < b}
+    got = [(e.src, e.dst) for e in generate.hyperbolic(spark, n, seed=5).filter("src < dst").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_extra_edges_are_new_and_weighted_by_distance(spark):
+    n, seed = 200, 9
+    base = {(r.src, r.dst) for r in generate.random_geometric(spark, n, seed).collect()}
+    more = generate.random_geometric(spark, n, seed, extra_percent=20).collect()
+    pts = {r.v: (r.x, r.y) for r in generate.points(spark, n, seed).collect()}
+    extra = [(r.src, r.dst, r.w) for r in more if (r.src, r.dst) not in base]
+    assert extra and len({(a, b) for a, b, _ in extra}) == len(extra) and len(more) == len(base) + len(extra)
+    assert all(w == pytest.approx(((pts[a][0] - pts[b][0]) ** 2 + (pts[a][1] - pts[b][1]) ** 2) ** 0.5) for a, b, w in extra)

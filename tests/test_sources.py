@@ -126,3 +126,48 @@ def test_adjacency_and_stream(spark, tmp_path):
     q.stop()
     want = {r.v: r.k for r in edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("k")).collect()}
     assert {r.v: r.k for r in spark.table("deg").collect()} == want
+
+
+def test_csr_hub_is_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csr, "SPAN", 16)
+    pairs = [(0, v, float(v)) for v in range(1, 400)] + [(7, 3, 1.5), (7, 3, 0.5), (399, 399, 2.0)]
+    edges = build.symmetrize(spark.createDataFrame(pairs, "src long, dst long, w double"), "once").repartition(5)
+    path = str(tmp_path / "hub.bin")
+    csr.write_csr(edges, path, 400, part_edges=37)
+    import numpy as np
+
+    raw = (tmp_path / "hub.bin").read_bytes()
+    nv, ne = np.frombuffer(raw[:16], "<i8")
+    offsets = np.frombuffer(raw[16 : 16 + 8 * (nv + 1)], "<i8")
+    want = rows(edges)
+    tail = np.frombuffer(raw[16 + 8 * (nv + 1) :], [("t", "<i8"), ("w", "<f8")])
+    assert (nv, ne) == (400, len(want)) and offsets[0] == 0 and offsets[-1] == ne
+    assert [(v, int(t), float(w)) for v in range(nv) for t, w in tail[offsets[v] : offsets[v + 1]]] == want
+    empty = str(tmp_path / "none.bin")
+    csr.write_csr(edges.limit(0), empty, 3)
+    assert csr.read_header(empty) == (3, 0) and csr.read_csr(spark, empty).count() == 0
+    with pytest.raises(ValueError):
+        csr.write_csr(edges, "mock://x/y", 400)
+
+
+def test_adjacency_lists_are_cut(spark):
+    edges = spark.createDataFrame([(0, v, 1.0) for v in range(100)], "src long, dst long, w double")
+    got = build.csr_rows(edges, span=30).orderBy("part").collect()
+    assert [len(r.tails) for r in got] == [30, 30, 30, 10] and [t for r in got for t in r.tails] == list(range(100))
+
+
+def test_a_cluster_must_name_the_shared_folder(spark):
+    from weftgraph.plans import stage
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    for master in ("local-cluster[3,2,1000]", "yarn", "spark://h:7077", ""):
+        with pytest.raises(ValueError):
+            stage.shared_dir(Session(spark_master=master))
+    assert stage.shared_dir(Session(spark_master="local[8]")).startswith("file://")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.stage import materialize
+
 
 def running_total(
     df: DataFrame, bucket: Column, order: Sequence[Column], value: Column, out: str, by: Sequence[str] = ()
@@ -35,7 +37,21 @@ def running_total(
     return joined.withColumn(out, F.col("__before") + F.sum("__x").over(inner)).drop("__b", "__x", "__before")
 
 
-def dense_ids(df: DataFrame, key: str, out: str, width: int = 1 << 16) -> DataFrame:
-    """Number the rows of a table with distinct integral ``key`` 0, 1, … along it."""
-    bucket = F.floor(F.col(key) / F.lit(width))
-    return running_total(df, bucket, [F.col(key)], F.lit(1), out).withColumn(out, F.col(out).cast("long") - 1)
+def by_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` with the number ``__b`` of the range along ``order`` that each row lies in.
+
+    Ranges are cut where the rows are, so they hold about equally many however
+    sparse or clustered the keys; equal keys share one. They are written, so
+    that a number stays what it is when a lost task is run again.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ranges")
+
+
+def ranged_total(df: DataFrame, order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """Add ``out``: the running sum of ``value`` along ``order``. Only one row a range meets in one task."""
+    return running_total(by_ranges(df, order), F.col("__b"), order, value, out)
+
+
+def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Number the rows of a table with distinct ``key`` 0, 1, … along it."""
+    return ranged_total(df, [F.col(key)], F.lit(1), out).withColumn(out, F.col(out).cast("long") - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import uniform
-from weftgraph.functions.prefix import dense_ids, running_total
+from weftgraph.functions.prefix import dense_ids, ranged_total
 
 POLICIES = ("original", "abs", "one", "random")
 
@@ -55,8 +55,7 @@ def first_seen(edges: DataFrame, order: list[str]) -> DataFrame:
         edges.select(F.struct(*order, F.lit(1).alias("side")).alias("at"), F.col("dst").alias("old_id"))
     )
     firsts = ends.groupBy("old_id").agg(F.min("at").alias("at"))
-    bucket = F.floor(F.col(f"at.{order[0]}") / F.lit(1 << 16))
-    out = running_total(firsts, bucket, [F.col("at")], F.lit(1), "new_id")
+    out = ranged_total(firsts, [F.col("at")], F.lit(1), "new_id")
     return out.select("old_id", (F.col("new_id").cast("long") - 1).alias("new_id"))
 
 
@@ -81,14 +80,19 @@ def csr_offsets(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
     deg = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     if vertices is not None:
         deg = vertices.join(deg, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"))
-    out = running_total(deg, F.floor(F.col("v") / F.lit(1 << 16)), [F.col("v")], F.col("n"), "upto")
+    out = ranged_total(deg, [F.col("v")], F.col("n"), "upto")
     return out.select("v", (F.col("upto") - F.col("n")).cast("long").alias("offset"))
 
 
-def csr_rows(edges: DataFrame) -> DataFrame:
-    """``(v, tails, weights)``: adjacency lists sorted by tail, one row a vertex."""
+def csr_rows(edges: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``(v, part, tails, weights)``: adjacency lists sorted by tail.
+
+    The list of a vertex is cut where tails pass a multiple of ``span``, so no
+    row holds more than that many neighbours, however large a hub; its parts
+    by ascending ``part`` are the whole list.
+    """
     pairs = F.array_sort(F.collect_list(F.struct("dst", "w")))
-    adj = edges.groupBy(F.col("src").alias("v")).agg(pairs.alias("a"))
-    return adj.select("v", F.col("a.dst").alias("tails"), F.col("a.w").alias("weights"))
+    adj = edges.groupBy(F.col("src").alias("v"), F.floor(F.col("dst") / F.lit(span)).alias("part")).agg(pairs.alias("a"))
+    return adj.select("v", "part", F.col("a.dst").alias("tails"), F.col("a.w").alias("weights"))
 
 

@@ -14,7 +14,9 @@ def contingency(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 def _pairs(df: DataFrame, out: str) -> DataFrame:
     n = F.col("n")
-    return df.agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0)).alias(out))
+    # n (n - 1) / 2 in whole numbers: the even factor is halved before
+    pairs = F.shiftright(n, 1) * (F.shiftright(n - 1, 1) * 2 + 1)
+    return df.agg(F.coalesce(F.sum(pairs), F.lit(0)).alias(out))
 
 
 def pair_counts(truth: DataFrame, found: DataFrame) -> DataFrame:

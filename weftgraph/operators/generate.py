@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import uniform
@@ -90,24 +90,46 @@ def _skips(spark: SparkSession, pairs: int, p: float, seed: int, chunk: int = 1
     return spark.range(chunks).repartition(max(1, min(chunks, 200))).mapInPandas(draw, "i long")
 
 
+def _triangle(s: Column) -> Column:
+    """s (s - 1) / 2 in whole numbers."""
+    return F.shiftright(s, 1) * (F.shiftright(s - 1, 1) * 2 + 1)
+
+
+def _pairs(idx: DataFrame, at: str) -> DataFrame:
+    """Add the pair ``a`` < ``b`` that index ``at`` stands for: ``b`` is the largest with b (b - 1) / 2 <= index."""
+    s, i = F.col("b"), F.col(at)
+    idx = idx.withColumn("b", F.floor((1 + F.sqrt(1 + 8 * i.cast("double"))) / 2).cast("long"))
+    idx = idx.withColumn("b", F.when(_triangle(s) > i, s - 1).when(_triangle(s + 1) <= i, s + 1).otherwise(s))
+    return idx.withColumn("a", i - _triangle(s))
+
+
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 0) -> DataFrame:
     """Half-edges of G(n, p), weight 1."""
     if n < 2 or p <= 0:
         return spark.createDataFrame([], "src long, dst long, w double")
-    idx = _skips(spark, n * (n - 1) // 2, p, seed)
-    # index i of pair (s, d), s > d: s is the largest with s(s-1)/2 <= i
-    s = F.floor((1 + F.sqrt(1 + 8 * F.col("i").cast("double"))) / 2).cast("long")
-    tri = lambda s: (s * (s - 1) / 2).cast("long")
-    pairs = idx.withColumn("s", s)
-    pairs = pairs.withColumn("s", F.when(tri(F.col("s")) > F.col("i"), F.col("s") - 1).when(tri(F.col("s") + 1) <= F.col("i"), F.col("s") + 1).otherwise(F.col("s")))
-    return symmetrize(pairs.select((F.col("i") - tri(F.col("s"))).alias("src"), F.col("s").alias("dst"), F.lit(1.0).alias("w")))
+    pairs = _pairs(_skips(spark, n * (n - 1) // 2, p, seed), "i")
+    return symmetrize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")))
 
 
 def clustered_random(spark: SparkSession, n: int, k: int, p_in: float = 0.1, p_out: float = 0.005, seed: int = 0) -> DataFrame:
-    """Half-edges of a planted partition; vertex v lies in cluster v mod k."""
-    inside = erdos_renyi(spark, n, p_in, seed).filter(F.col("src") % k == F.col("dst") % k)
+    """Half-edges of a planted partition; vertex v lies in cluster v mod k.
+
+    Pairs inside clusters are drawn from an index over these pairs alone, so
+    the work follows the edges.
+    """
+    small, larger = divmod(n, k)  # so many clusters have one vertex more
+    of_larger, of_small = (small + 1) * small // 2, small * (small - 1) // 2
+    first = larger * of_larger
+    every = first + (k - larger) * of_small
     outside = erdos_renyi(spark, n, p_out, seed + 1).filter(F.col("src") % k != F.col("dst") % k)
-    return inside.unionByName(outside)
+    if not every or p_in <= 0:
+        return outside
+    i = F.col("i")
+    cluster = F.when(i < first, F.floor(i / max(of_larger, 1))).otherwise(larger + F.floor((i - first) / max(of_small, 1))).cast("long")
+    idx = _skips(spark, every, p_in, seed).withColumn("c", cluster)
+    idx = idx.withColumn("at", F.when(i < first, i - F.col("c") * of_larger).otherwise(i - first - (F.col("c") - larger) * of_small))
+    pairs = _pairs(idx, "at").select((F.col("c") + F.col("a") * k).alias("src"), (F.col("c") + F.col("b") * k).alias("dst"), F.lit(1.0).alias("w"))
+    return symmetrize(pairs).unionByName(outside)
 
 
 def barabasi_albert(spark: SparkSession, n: int, k: int, m0: int | None = None, seed: int = 0) -> DataFrame:
@@ -143,7 +165,9 @@ def hyperbolic(spark: SparkSession, n: int, mean_degree: float = 6.0, gamma: flo
     Points in a disc of radius R, denser outwards by exponent (gamma - 1)/2,
     joined within hyperbolic distance R. Points are put into radial bands;
     within a pair of bands only an angular window can be near, and the join is
-    on angular cells of that width.
+    on angular cells of that width. Where the window is the whole circle, one
+    band lies so far inside that it has few points; they are copied to salts
+    of the other band.
     """
     alpha = (gamma - 1) / 2
     radius = 2 * math.log(max(2.0, 2 * n * alpha**2 / (math.pi * mean_degree * (alpha - 0.5) ** 2)))
@@ -154,6 +178,7 @@ def hyperbolic(spark: SparkSession, n: int, mean_degree: float = 6.0, gamma: flo
     bands = [0.0, *[radius / 2 + i * radius / 16 for i in range(9)]]
     band = sum((F.col("r") >= b).cast("int") for b in bands[1:-1])
     pts = pts.withColumn("band", band)
+    salts = max(1, n >> 16)
     out = None
     for i in range(len(bands) - 1):
         for j in range(i, len(bands) - 1):
@@ -166,10 +191,15 @@ def hyperbolic(spark: SparkSession, n: int, mean_degree: float = 6.0, gamma: flo
             cells = max(1, int(2 * math.pi / max(window, 1e-9)))
             cells = 1 if cells < 3 else cells
             cell = F.floor(F.col("t") * cells / (2 * math.pi)).cast("long")
-            near = F.array(F.lit(0)) if cells == 1 else F.array(F.lit(-1), F.lit(0), F.lit(1))
-            a = pts.filter(F.col("band") == i).select(F.col("v").alias("a"), F.col("r").alias("r1"), F.col("t").alias("t1"), cell.alias("cell"))
-            b = pts.filter(F.col("band") == j).withColumn("o", F.explode(near))
-            b = b.select(F.col("v").alias("b"), F.col("r").alias("r2"), F.col("t").alias("t2"), ((cell + F.col("o") + cells) % cells).alias("cell"))
+            if cells == 1:
+                inner, outer = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))), F.pmod(F.xxhash64("v"), F.lit(salts)).cast("long")
+                a = pts.filter(F.col("band") == i).select(F.col("v").alias("a"), F.col("r").alias("r1"), F.col("t").alias("t1"), inner.alias("cell"))
+                b = pts.filter(F.col("band") == j).select(F.col("v").alias("b"), F.col("r").alias("r2"), F.col("t").alias("t2"), outer.alias("cell"))
+            else:
+                near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+                a = pts.filter(F.col("band") == i).select(F.col("v").alias("a"), F.col("r").alias("r1"), F.col("t").alias("t1"), cell.alias("cell"))
+                b = pts.filter(F.col("band") == j).withColumn("o", F.explode(near))
+                b = b.select(F.col("v").alias("b"), F.col("r").alias("r2"), F.col("t").alias("t2"), ((cell + F.col("o") + cells) % cells).alias("cell"))
             pairs = a.join(b, "cell").filter("a < b" if i == j else "a <> b")
             out = pairs if out is None else out.unionByName(pairs)
     d = F.cosh("r1") * F.cosh("r2") - F.sinh("r1") * F.sinh("r2") * F.cos(F.col("t1") - F.col("t2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.prefix import running_total
+from weftgraph.functions.prefix import ranged_total
 
 
 def owner(v: Column, n: int, parts: int) -> Column:
@@ -34,6 +34,12 @@ def edge_stats(edges: DataFrame, n: int, parts: int) -> DataFrame:
     )
 
 
+def load_summary(edges: DataFrame, n: int, parts: int) -> DataFrame:
+    """One row about a graph that is loaded and not clustered: vertices, total weight, and ``edge_stats``."""
+    weight = edges.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("two_m"), F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).alias("seen"))
+    return edge_stats(edges, n, parts).crossJoin(F.broadcast(weight)).withColumn("vertices", F.greatest(F.lit(n).cast("long"), F.col("seen"))).drop("seen")  # one row each
+
+
 def balance_edges(edges: DataFrame, vertices: DataFrame, parts: int) -> DataFrame:
     """``(v, part)``: contiguous ranges with about equal numbers of half-edges.
 
@@ -43,7 +49,7 @@ def balance_edges(edges: DataFrame, vertices: DataFrame, parts: int) -> DataFram
     """
     deg = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     every = vertices.join(deg, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"))
-    run = running_total(every, F.floor(F.col("v") / F.lit(1 << 16)), [F.col("v")], F.col("n"), "upto")
+    run = ranged_total(every, [F.col("v")], F.col("n"), "upto")
     total = edges.agg(F.greatest(F.ceil(F.count(F.lit(1)) / parts), F.lit(1)).alias("cap"))
     part = F.least(F.lit(parts - 1), F.floor((F.col("upto") - F.col("n")) / F.col("cap")))
     return run.crossJoin(F.broadcast(total)).select("v", part.cast("long").alias("part"))

@@ -7,7 +7,7 @@ take the best move of each vertex.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,17 +46,23 @@ def neighbor_weights(edges: DataFrame, assign: DataFrame) -> DataFrame:
 
 
 def gains(edges: DataFrame, assign: DataFrame, vertices: DataFrame, c: Column | float, cinfo: DataFrame | None = None) -> DataFrame:
-    """``(v, own, comm, gain, own_size, size)`` for every neighbouring community of v but its own."""
+    """``(v, own, comm, gain, own_size, size)`` for every neighbouring community of v but its own.
+
+    A vertex's weight into its own community is one row of the neighbour
+    weights, found by (vertex, community); self-loops are all in it. So what
+    a hub touches is never gathered in one task: joins on the vertex may be
+    split, and the best move is taken by partial aggregates.
+    """
     cinfo = community_info(assign, vertices) if cinfo is None else cinfo
+    near = neighbor_weights(edges, assign)
+    inside = assign.select("v", "comm").join(near, ["v", "comm"], "left").select("v", "comm", F.coalesce(F.col("w_comm") - F.col("w_loop"), F.lit(0.0)).alias("eix"))
     own = (
-        assign.join(vertices, "v")
+        inside.join(vertices, "v")
         .join(cinfo, "comm")
-        .select("v", F.col("comm").alias("own"), "k", F.col("size").alias("own_size"), F.col("degree").alias("own_degree"))
+        .select("v", F.col("comm").alias("own"), "k", "eix", F.col("size").alias("own_size"), F.col("degree").alias("own_degree"))
     )
     other = cinfo.select("comm", "size", "degree")
-    of_v = Window.partitionBy("v")
-    eix = F.sum(F.when(F.col("comm") == F.col("own"), F.col("w_comm")).otherwise(0.0)).over(of_v) - F.sum("w_loop").over(of_v)
-    scored = neighbor_weights(edges, assign).join(own, "v").withColumn("eix", eix).filter("comm <> own").join(other, "comm", "left")
+    scored = near.join(own, "v").filter("comm <> own").join(other, "comm", "left")
     # a label may outlive its community while the colours of a sweep take turns
     scored = scored.withColumns({"size": F.coalesce("size", F.lit(0)), "degree": F.coalesce("degree", F.lit(0.0))})
     ax = F.col("own_degree") - F.col("k")

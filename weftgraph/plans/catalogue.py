@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,15 @@ from weftgraph.functions.hashing import SEED, SEED_STEP, mix32_sql
 from weftgraph.operators import build, coarsen, coloring, compare, generate, modularity, partition
 from weftgraph.operators import sweep as sw
 from weftgraph.plans import derive
-from weftgraph.plans.louvain import louvain
+from weftgraph.plans.louvain import louvain, run_phase
+from weftgraph.plans.registry import QUERIES, SQL, query
 from weftgraph.plans.stage import materialize, new_path
 from weftgraph.sources.csr import read_csr, write_csr
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 PARTS = 8
 RADIUS = 0.05
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -163,11 +149,11 @@ def vertex_renumber_first_seen(spark, d):
 
 
 @query(
-    f"""WITH {RAW}, few AS (SELECT * FROM raw WHERE w >= 45), ids AS (SELECT src AS old_id FROM few UNION SELECT dst FROM few)
+    f"""WITH {RAW}, ids AS (SELECT src AS old_id FROM raw UNION SELECT dst FROM raw)
     SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id FROM ids"""
 )
 def vertex_compact(spark, d):
-    return build.compact(derive.customer_supplier_lines(spark, d).filter("w >= 45"))
+    return build.compact(derive.customer_supplier_lines(spark, d))
 
 
 # --- degrees, offsets, ranges ----------------------------------------------
@@ -222,6 +208,16 @@ def edge_distribution_stats(spark, d):
     return rounded(partition.edge_stats(edges, n, PARTS), "avg_edges", "avg_square", "variance", "stddev")
 
 
+@query(
+    f"""WITH {COPURCHASE}, {RANGES}, cnt AS (SELECT j, count(src) AS e FROM owners LEFT JOIN edges ON src >= lo AND src < hi GROUP BY 1)
+    SELECT CAST({NV} AS BIGINT) AS vertices, (SELECT sum(w) FROM edges) AS two_m, CAST(sum(e) AS BIGINT) AS edges, max(e) AS max_edges, min(e) AS min_edges, round(avg(e), 6) AS avg_edges,
+    round(avg(e * e), 6) AS avg_square, round(var_pop(e), 6) AS variance, round(stddev_pop(e), 6) AS stddev FROM cnt"""
+)
+def load_summary(spark, d):
+    edges, n = _graph_n(spark, d)
+    return rounded(partition.load_summary(edges, n, PARTS), "avg_edges", "avg_square", "variance", "stddev")
+
+
 @query(
     f"""WITH {COPURCHASE}, n AS (SELECT src AS v, count(*) AS n FROM edges GROUP BY 1), cap AS (SELECT greatest(CAST(ceil(count(*) / {PARTS}) AS BIGINT), 1) AS cap FROM edges),
     run AS (SELECT v, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
@@ -311,6 +307,29 @@ def early_term_decay(spark, d):
     return rounded(sw.decay(same, alpha=0.75), "p")
 
 
+def _after_sweeps(edges: DataFrame, sweeps: int, **options) -> DataFrame:
+    """The partition after so many sweeps of a phase that nothing else ends."""
+    edges = materialize(edges, "edges")
+    verts = materialize(sw.degrees(edges), "degrees")
+    return run_phase(edges, verts, threshold=-1e9, mode="compat", max_iterations=sweeps + 1, **options).assign
+
+
+def _frozen_sql(active: str) -> str:
+    """Three sweeps, then one in which only ``active`` vertices move."""
+    fourth = _sweep_sql(4).replace("FROM gn3 WHERE gain > 0", "FROM gn3 JOIN act USING (v) WHERE gain > 0")
+    return _upto(3) + f", act AS ({active}),\n    {fourth} SELECT v, comm FROM a4"
+
+
+@query(_frozen_sql("SELECT a3.v FROM a3 JOIN a2 USING (v) JOIN a1 USING (v) WHERE NOT (a3.comm = a2.comm AND a2.comm = a1.comm)"))
+def louvain_early_stop_unchanged(spark, d):
+    return _after_sweeps(derive.copurchase(spark, d), 4, early_stop=1)
+
+
+@query(_frozen_sql("SELECT a2.v FROM a2 JOIN a1 USING (v) WHERE a2.comm <> a1.comm"))
+def louvain_early_stop_decay(spark, d):
+    return _after_sweeps(derive.copurchase(spark, d), 4, early_stop=2)
+
+
 # --- levels ----------------------------------------------------------------
 
 
@@ -397,6 +416,25 @@ def coloring_unassigned(spark, d):
     return coloring.unassigned(_colored(spark, d)[1])
 
 
+def _colored_sweep_sql() -> str:
+    """``t{n}``: the partition after one sweep of singletons in which the colours of ``colors`` take turns."""
+    turns = [*range(2 * N_HASH), -1]
+    steps = ["verts AS (SELECT src AS v, CAST(count(*) AS DOUBLE) AS k FROM edges GROUP BY 1), t0 AS (SELECT v, v AS comm FROM verts), tot AS (SELECT 1.0 / count(*) AS c FROM edges)"]
+    for i, color in enumerate(turns):
+        steps.append(f"""ci{i} AS MATERIALIZED (SELECT comm, count(*) AS size, sum(k) AS degree FROM t{i} JOIN verts USING (v) GROUP BY 1),
+    g{i} AS (SELECT x.v, dst AS target, o.size AS osize, coalesce(y.size, 0) AS size, 2.0 * 1.0 - 2.0 * k * (coalesce(y.degree, 0) - (o.degree - k)) * (SELECT c FROM tot) AS gain
+      FROM colors x JOIN edges ON src = x.v JOIN verts ON verts.v = x.v JOIN ci{i} o ON o.comm = x.v LEFT JOIN ci{i} y ON y.comm = dst WHERE coalesce(color, -1) = {color}),
+    m{i} AS (SELECT v, target FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, target) AS r FROM g{i} WHERE gain > 0) WHERE r = 1 AND NOT (size = 1 AND osize = 1 AND target > v)),
+    t{i + 1} AS MATERIALIZED (SELECT t{i}.v, coalesce(target, comm) AS comm FROM t{i} LEFT JOIN m{i} USING (v))""")
+    return ",\n    ".join(steps)
+
+
+@query(_color_sql() + ", " + _colored_sweep_sql() + f" SELECT v, comm FROM t{2 * N_HASH + 1}")
+def louvain_colored_sweep(spark, d):
+    edges, colors = _colored(spark, d)
+    return _after_sweeps(edges, 1, colors=materialize(colors, "colors"))
+
+
 # --- comparing -------------------------------------------------------------
 
 PARTITIONS = """truth AS (SELECT vec_id AS v, CAST(label AS BIGINT) AS comm FROM embeddings), found AS (SELECT vec_id AS v,
@@ -443,7 +481,7 @@ def rgg_grid_join(spark, d):
     return rounded(generate.near_pairs(derive.embedding_points(spark, d), RADIUS), "w")
 
 
-# --- whole runs: no SQL -----------------------------------------------------
+# --- whole runs; SQL for what has a fixed number of steps -----------------------------------------------------
 
 
 @query()
@@ -467,7 +505,7 @@ def generate_rgg(spark, d):
     return generate.random_geometric(spark, 2000, seed=7, extra_percent=5.0)
 
 
-@query()
+@query(f"WITH {COPURCHASE} SELECT src, dst, w FROM edges")
 def csr_roundtrip(spark, d):
     edges, n = _graph_n(spark, d)
     path = new_path(spark, "graph")

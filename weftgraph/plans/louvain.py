@@ -95,8 +95,10 @@ def run_phase(
     returns the best one seen; ``"compat"`` reports the absolute lagged score of
     the sweep before the last and returns the partition of two sweeps before.
     ``early_stop`` 1 and 3 freeze vertices unchanged for three sweeps, 2 and 4
-    decay a probability by ``alpha``; 3 and 4 also stop when 90 percent are
-    frozen.
+    decay a probability by ``alpha`` while the two partitions before the
+    present one agree on a vertex; 3 and 4 also stop when 90 percent are
+    frozen. In compat mode a frozen vertex counts with the edge weight of its
+    last active sweep.
     """
     if mode not in ("strict", "compat"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -116,7 +118,14 @@ def run_phase(
         else:
             target = materialize(sw.sweep(edges, current, vertices, c, active=active), "assign")
         if mode == "compat":
-            q = _one(modularity.lagged_modularity(edges, current, target, vertices, absolute=True))
+            if early_stop and active is not None:
+                own = modularity.internal_by_vertex(edges.join(active.select(F.col("v").alias("src")), "src", "left_semi"), current)
+                held = materialize(held.join(active, "v", "left_anti").unionByName(own), "held")
+                q = _one(modularity.replayed_modularity(held, target, vertices, sw.total_weight(edges)))
+            else:
+                if early_stop:
+                    held = materialize(modularity.internal_by_vertex(edges, current), "held")
+                q = _one(modularity.lagged_modularity(edges, current, target, vertices, absolute=True))
             trace.append((q, target.select("comm").distinct().count()))
             if q - last < threshold:
                 return Phase(previous, last if k > 1 else q, k, trace)
@@ -135,7 +144,7 @@ def run_phase(
             flags = flags if active is None else flags.join(active, "v", "left_semi")
             active = materialize(flags.filter("active").select("v"), "active")
         elif early_stop in (2, 4):
-            same = target.select("v", F.col("comm").alias("t")).join(current, "v")
+            same = previous.select("v", F.col("comm").alias("t")).join(current, "v")
             stable = F.lit(k > 2) & (F.col("t") == F.col("comm"))
             joined = state.join(same.select("v", stable.alias("stable")), "v")
             state = materialize(sw.decay(joined.select("v", "p", "stable"), alpha, P_CUTOFF), "p")

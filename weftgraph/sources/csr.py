@@ -1,12 +1,12 @@
 """Binary CSR files: ``nv i64, ne i64, offsets i64[nv+1], (tail i64, w f64)[ne]``.
 
 A Python data source with one partition a vertex range reads only its own
-offsets and edges; the writer streams edges sorted by vertex.
+offsets and edges; the writer computes the place of every edge first, and
+executors write them there.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weftgraph.functions.prefix import ranged_total
 from weftgraph.operators.build import csr_offsets
+from weftgraph.plans.stage import materialize
 
 SCHEMA = "src long, dst long, w double"
 CHUNK = 1 << 20
@@ -109,33 +111,78 @@ def read_csr(spark: SparkSession, path: str, parts: int = 8, balanced: bool = Fa
     return spark.read.format("csr").option("parts", parts).option("balanced", balanced).option("ones", ones).option("bits", bits).load(path)
 
 
-def write_csr(edges: DataFrame, path: str, nv: int, bits: int = 64) -> None:
-    """One file with the edges sorted by (src, dst).
+#: Tails of one vertex are counted by spans of so many ids, so that a hub may fill several parts.
+SPAN = 1 << 20
 
-    Offsets and edges reach the driver one partition at a time, so memory is
-    bounded by a partition. Parquet is the sink for anything distributed.
+
+def write_csr(edges: DataFrame, path: str, nv: int, bits: int = 64, part_edges: int = 1 << 22) -> None:
+    """One file with the edges sorted by (src, dst, w), written at their places by the executors.
+
+    The place of each run (vertex, span of tails) is a distributed prefix sum
+    over counts; runs are dealt into parts of about ``part_edges`` edges, and
+    a part is sorted and written where it belongs. The driver sees the number
+    of edges only. A task that is run again writes the same bytes to the same
+    places. ``path`` must be in a file system that driver and executors mount
+    alike and that allows writing at a place; Parquet is the sink for others.
     """
     word, edge = _dtypes(bits)
     fs, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    ne = edges.count()
+    if not isinstance(fs, pafs.LocalFileSystem):
+        raise ValueError(f"cannot write at a place in {path}: use a mounted folder, or Parquet")
+    edges = edges.select("src", "dst", "w", F.floor(F.col("dst") / SPAN).alias("span"))
+    counts = edges.groupBy("src", "span").agg(F.count(F.lit(1)).alias("n"))
+    runs = ranged_total(counts, [F.col("src"), F.col("span")], F.col("n"), "upto")
+    runs = materialize(runs.select("src", "span", (F.col("upto") - F.col("n")).cast("long").alias("at"), "n"), "runs")
+    ne = int(runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    start = 2 * word.itemsize
+    tail = start + (nv + 1) * word.itemsize
+    with open(inner, "wb") as f:
+        f.write(np.array([nv, ne], word).tobytes())
+        f.truncate(tail + ne * edge.itemsize)
+        f.seek(tail - word.itemsize)
+        f.write(np.array([ne], word).tobytes())
+
+    def put(pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        with open(inner, "r+b") as f:
+            for at, raw in pieces:
+                f.seek(at)
+                n += f.write(raw)
+        yield pa.RecordBatch.from_pydict({"bytes": [n]})
+
+    def put_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bytes]]:
+            last, at = None, 0  # the part that is being written, and its next place
+            for batch in batches:
+                part, first, dst, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "at", "dst", "w"))
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    if part[a] != last:
+                        last, at = part[a], int(first[a])
+                    rows = np.empty(b - a, edge)
+                    rows["tail"], rows["w"] = dst[a:b], w[a:b]
+                    yield tail + at * edge.itemsize, rows.tobytes()
+                    at += b - a
+
+        yield from put(pieces())
+
+    def put_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                v, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "offset"))
+                cuts = [0, *(np.flatnonzero(v[1:] != v[:-1] + 1) + 1).tolist(), len(v)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a < b:
+                        yield start + int(v[a]) * word.itemsize, at[a:b].astype(word).tobytes()
+
+        yield from put(pieces())
+
+    parts = max(1, -(-ne // part_edges))
+    placed = edges.join(runs.withColumn("part", F.floor(F.col("at") / part_edges).cast("long")).drop("n"), ["src", "span"])
+    dealt = placed.repartition(parts, "part").sortWithinPartitions("part", "src", "dst", "w").select("part", "at", "dst", "w")
+    dealt.mapInArrow(put_edges, "bytes long").agg(F.sum("bytes")).collect()
     ids = edges.sparkSession.range(nv).select(F.col("id").alias("v"))
-    offsets = csr_offsets(edges, ids).orderBy("v").select("offset")
-    pack = lambda values, dtype: np.array(values, dtype).tobytes()
-    with fs.open_output_stream(inner) as out:
-        out.write(struct.pack("<qq" if bits == 64 else "<ii", nv, ne))
-        for rows in _chunks(offsets.toLocalIterator()):
-            out.write(pack([r[0] for r in rows], word))
-        out.write(pack([ne], word))
-        for rows in _chunks(edges.select("src", "dst", "w").orderBy("src", "dst", "w").toLocalIterator()):
-            out.write(pack([(r[1], r[2]) for r in rows], edge))
-
-
-def _chunks(rows: Iterator, size: int = 1 << 16) -> Iterator[list]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+    offsets = csr_offsets(edges, ids).repartitionByRange("v").sortWithinPartitions("v")
+    offsets.select("v", "offset").mapInArrow(put_offsets, "bytes long").agg(F.sum("bytes")).collect()

@@ -20,7 +20,10 @@ SYMMETRIES = ("general", "symmetric")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)`` of the files under ``path``, numbered from 0 by file and place."""
+    """``(line_no, value)`` of the files under ``path``, numbered from 0 by file and place.
+
+    Only one row a file block meets in one task.
+    """
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
     )
@@ -28,7 +31,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     w = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row a file block
     before = counts.select("f", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) - 1
-    return raw.withColumn("place", place).join(F.broadcast(before), ["f", "b"]).select((F.col("before") + F.col("place")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return raw.withColumn("place", place).join(before, ["f", "b"]).select((F.col("before") + F.col("place")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def _tokens(value: Column) -> Column:
@@ -160,15 +163,15 @@ def read_pajek(spark: SparkSession, path: str, seed: int = 0, policy: str = "one
 
 
 def read_shards(spark: SparkSession, path: str, start: int, end: int, count: int, compact: bool = True, policy: str = "original", seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """Files ``<i>__<j>.csv`` of ``ai,aj,common,jaccard`` with start <= i, j <= end.
+    """Files, or folders of part files, ``<i>__<j>.csv`` of ``ai,aj,common,jaccard`` with start <= i, j <= end.
 
     Ids are offset by (i-1)*count and (j-1)*count; edges are mirrored with a
     self-loop stored once. With ``compact`` ids are renumbered without gaps and
     the mapping is returned as well.
     """
     raw = spark.read.schema("ai long, aj long, common double, jaccard double").option("header", True).csv(f"{path}/*__*.csv")
-    name = F.regexp_extract(F.input_file_name(), "([0-9]+)__([0-9]+)\\.csv$", 0)
-    rows = raw.withColumn("i", F.split(name, "__")[0].cast("long")).withColumn("j", F.regexp_replace(F.split(name, "__")[1], "\\.csv$", "").cast("long"))
+    part = lambda i: F.regexp_extract(F.input_file_name(), "([0-9]+)__([0-9]+)\\.csv(?:/part-[^/]*)?$", i).cast("long")
+    rows = raw.withColumns({"i": part(1), "j": part(2)})
     rows = rows.filter(F.col("i").between(start, end) & F.col("j").between(start, end))
     src, dst = F.col("ai") + (F.col("i") - 1) * count, F.col("aj") + (F.col("j") - 1) * count
     edges = rows.select(src.alias("src"), dst.alias("dst"), F.col("jaccard").alias("raw")).filter(src.isNotNull() & dst.isNotNull())
