@@ -211,13 +211,40 @@ def test_equal_vectors_make_no_large_block(spark):
 def test_a_block_comes_before_its_queries():
     v = lambda *x: np.array(x, dtype=float)
     rows = [(0, 0, 0, False, 1, v(1, 0)), (0, 0, 0, False, 2, v(0, 1)), (0, 0, 0, True, 9, v(2, 1)), (0, 1, 0, True, 9, v(2, 1)), (1, 0, 0, False, 3, v(1, 1)), (1, 0, 0, True, 3, v(1, 1)), (1, 0, 0, True, 8, v(5, 5))]
-    cols = ["part", "salt", "chunk", "asks", "vec_id", "vec"]
+    rows = [(*r, None if r[3] else r[0], [r[0]] if r[3] else None) for r in rows]
+    cols = ["region", "salt", "chunk", "asks", "vec_id", "vec", "part", "probes"]
     for step in (1, 2, 7):
         batches = [pd.DataFrame(rows[i : i + step], columns=cols) for i in range(0, len(rows), step)]
         got = pd.concat(list(ann.blocks_of(iter(batches), 20)))
         assert [tuple(r) for r in got.itertuples(index=False)] == [(9, 1, 2.0), (9, 2, 1.0), (8, 3, 10.0)]
 
 
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_a_region_is_searched_in_the_probed_partitions_only(k):
+    rng = np.random.default_rng(k)
+    x = rng.integers(-3, 4, (90, 4)).astype(float)  # many ties
+    ids, part = rng.integers(0, 60, 90), np.sort(rng.choice([1, 3, 5, 7, 11], 90))
+    q, q_id = rng.integers(-3, 4, (40, 4)).astype(float), rng.integers(0, 60, 40)
+    probes = [rng.choice([1, 3, 4, 5, 7, 11, 15], rng.integers(0, 7), replace=False) for _ in q]
+    for most in (7, 100):
+        got = list(zip(*ann.nearest(q_id, q, probes, ann.Block.of(ids, x, part, most), k)))
+        want = []
+        for i in range(len(q)):
+            found = sorted((-float(x[j] @ q[i]), ids[j]) for j in range(90) if part[j] in probes[i] and ids[j] != q_id[i])
+            want += [(q_id[i], c, -s) for s, c in found[:k]]
+        assert got == want
+
+
+def test_regions_change_no_result(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    base = dict(part_rows=100, sample=1000)
+    of = lambda **kw: sorted(map(tuple, ann.search(frame, F.col("vec_id") % 20 == 0, ann.AnnParams(**base, **kw)).collect()))
+    whole = of()
+    assert whole == of(region_bytes=2000, query_rows=30) and len(whole) == 2000
+
+
 # --- 9 --------------------------------------------------------------------------
 
 

@@ -27,9 +27,10 @@ class AnnParams:
     Fitted on about ``sample`` rows, or ``part_sample`` a partition if that is
     more (so at most 65,536 on the driver), ``neighbours`` of each in the
     graph. A query probes its most probable partitions until they hold the
-    probability that gives ``recall`` on ``trial`` held-out sample rows. A
-    block is at most about ``block_rows`` rows, met by about ``query_rows``
-    queries in one task.
+    probability that gives ``recall`` on ``trial`` held-out sample rows.
+    Neighbouring partitions are searched together, as a region of at most
+    about ``region_bytes`` of vectors that one task holds and that meets about
+    ``query_rows`` queries; ``block_rows`` are scored at a time.
     """
 
     k: int = 20
@@ -44,6 +45,7 @@ class AnnParams:
     trial: int = 512
     block_rows: int = 4096
     query_rows: int = 65_536
+    region_bytes: int = 64 << 20
     seed: int = 5
 
     def partitions(self, rows: int) -> int:
@@ -53,6 +55,13 @@ class AnnParams:
             parts *= 2
         return parts
 
+    def regions(self, rows: int, dim: int, parts: int, cores: int) -> int:
+        """A power of two: no more than keep ``cores`` busy and each task's share in memory."""
+        regions = 1
+        while regions < parts and (regions < cores or regions * self.region_bytes < 8 * dim * rows):
+            regions *= 2
+        return regions
+
 
 @dataclass
 class Router:
@@ -103,8 +112,9 @@ def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
 def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, seed: int, sweeps: int = 12, slack: float = 1.05) -> np.ndarray:
     """A partition of the graph into ``parts`` of at most ``slack`` times the mean size, few edges cut.
 
-    Halved by principal directions to begin with; then vertices move to the
-    partition of most of their neighbours where that gains edges and has room.
+    Halved by principal directions to begin with, so that partitions with the
+    same low bits lie together; then vertices move to the partition of most of
+    their neighbours where that gains edges and has room.
     """
     labels = np.zeros(len(x), dtype=np.int32)
     for level in range(int(np.log2(parts))):
@@ -206,43 +216,77 @@ FOUND = "query_id long, vec_id long, score double"
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best k of the candidates but itself: (query, vec, score), ties to the smaller id.
+@dataclass
+class Block:
+    """Rows of a region, ordered by partition; ``pieces`` are (partition's place in ``parts``, from, to)."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    parts: np.ndarray
+    pieces: list[tuple[int, int, int]]
+    longest: float
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vecs: np.ndarray, part: np.ndarray, most: int) -> Block:
+        parts, at = np.unique(part, return_index=True)
+        ends = [*at[1:], len(part)]
+        pieces = [(i, x, min(x + most, end)) for i, (start, end) in enumerate(zip(at, ends)) for x in range(start, end, most)]
+        return cls(ids, vecs, parts, pieces, float(np.sqrt((vecs**2).sum(axis=1)).max()))
+
+
+def nearest(q_id: np.ndarray, q: np.ndarray, probes: list[np.ndarray], block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's best k of the block's partitions that it probes, but itself: (query, vec, score), ties to the smaller id.
 
-    One matrix product selects, with all near ties; the scores returned are
-    sums from the first component to the last, so equal vectors score equally
+    Matrix products select, with all near ties; the scores returned are sums
+    from the first component to the last, so equal vectors score equally
     anywhere.
     """
-    out: tuple[list, list, list] = ([], [], [])
-    for a in range(0, len(q), block):
-        s = q[a : a + block] @ c.T
-        for i, row in enumerate(s):
-            own = q_id[a + i]
-            if len(row) > k + 1:
-                kth = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                at = np.flatnonzero(row >= kth - 1e-9 * max(1.0, abs(kth)))
-            else:
-                at = np.arange(len(row))
-            at = at[c_id[at] != own]
-            exact = (c[at] * q[a + i]).cumsum(axis=1)[:, -1]
-            best = np.lexsort((c_id[at], -exact))[:k]
-            out[0].append(np.full(len(best), own))
-            out[1].append(c_id[at][best])
-            out[2].append(exact[best])
-    cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-    return cat(out[0], "int64"), cat(out[1], "int64"), cat(out[2], "float64")
-
-
-def blocks_of(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Ranks queries against blocks (``FOUND``): rows sorted by (part, salt, chunk, asks), so a block comes before its queries.
+    who, flat = np.repeat(np.arange(len(q)), [len(p) for p in probes]), np.concatenate(probes)
+    at = np.searchsorted(block.parts, flat).clip(max=len(block.parts) - 1)
+    held = block.parts[at] == flat
+    asked = np.zeros((len(q), len(block.parts)), dtype=bool)
+    asked[who[held], at[held]] = True
+    slack = 1e-11 * block.longest * np.sqrt((q**2).sum(axis=1))  # sums in another order differ by less
+    bound = np.full(len(q), -np.inf)  # k rows of one piece are as near
+    rows, cols, near = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for p, a, b in block.pieces:
+        who = np.flatnonzero(asked[:, p])
+        if len(who):
+            s = q[who] @ block.vecs[a:b].T
+            s[q_id[who][:, None] == block.ids[a:b]] = -np.inf
+            if b - a >= k:
+                bound[who] = np.maximum(bound[who], np.partition(s, b - a - k, axis=1)[:, b - a - k])
+            i, j = np.nonzero((s >= (bound - slack)[who][:, None]) & (s > -np.inf))
+            rows.append(who[i])
+            cols.append(a + j)
+            near.append(s[i, j])
+    row, col, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(near)
+    order = np.lexsort((-s, row))
+    row, col, s = row[order], col[order], s[order]
+    first = np.searchsorted(row, np.arange(len(q) + 1))
+    full = np.flatnonzero(np.diff(first) >= k)
+    bound[full] = s[first[full] + k - 1]
+    keep = s >= (bound - slack)[row]
+    row, col = row[keep], col[keep]
+    exact = (block.vecs[col] * q[row]).cumsum(axis=1)[:, -1]
+    order = np.lexsort((block.ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return q_id[row[best]], block.ids[col[best]], exact[best]
+
+
+def blocks_of(batches: Iterator[pd.DataFrame], k: int, block_rows: int = 4096, step: int = 256) -> Iterator[pd.DataFrame]:
+    """Ranks queries against blocks (``FOUND``): rows sorted by (region, salt, chunk, asks, part), so a block comes before its queries.
 
     Holds one block and one batch of queries, however many queries there are.
+    A query gets at most ``k`` rows of a block, however many of its partitions
+    it probes.
     """
     key, held, block = None, [], None
     for pdf in batches:
         if not len(pdf):
             continue
-        of = pdf[["part", "salt", "chunk"]].to_numpy()
+        of = pdf[["region", "salt", "chunk"]].to_numpy()
         cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist(), len(of)]
         for a, b in zip(cuts, cuts[1:]):
             rows = pdf.iloc[a:b]
@@ -250,13 +294,17 @@ def blocks_of(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
                 key, held, block = tuple(of[a]), [], None
             asks = rows["asks"].to_numpy(dtype=bool)
             if not asks.all():
-                held.append((rows["vec_id"].to_numpy()[~asks], matrix(rows["vec"][~asks])))
-                block = None
-            if asks.any() and held:
-                if block is None:
-                    block = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                q, c, score = nearest(rows["vec_id"].to_numpy()[asks], matrix(rows["vec"][asks]), *block, k)
-                yield pd.DataFrame({"query_id": q, "vec_id": c, "score": score})
+                mine = rows[~asks]
+                held.append((mine["vec_id"].to_numpy(), matrix(mine["vec"]), mine["part"].to_numpy(dtype=np.int64)))
+            if asks.any() and (held or block):
+                if held:
+                    block, held = Block.of(*(np.concatenate(x) for x in zip(*held)), block_rows), []
+                mine = rows[asks]
+                for at in range(0, len(mine), step):
+                    few = mine.iloc[at : at + step]
+                    probes = [np.asarray(p, dtype=np.int64) for p in few["probes"]]
+                    q, c, score = nearest(few["vec_id"].to_numpy(), matrix(few["vec"]), probes, block, k)
+                    yield pd.DataFrame({"query_id": q, "vec_id": c, "score": score})
 
 
 def usable_rows(rows: DataFrame, is_query: Column, id: str, vec: str) -> tuple[DataFrame, int]:
@@ -277,14 +325,15 @@ def search(rows: DataFrame, is_query: Column, params: AnnParams = AnnParams(), i
     Ties go to the smaller id. An empty table gives an empty one; other
     columns, whatever their names, take no part.
 
-    Queries go to the blocks of the partitions that they probe, as many copies
-    as blocks; the index is copied only where one partition is asked by more
-    than ``query_rows``. Of equal vectors only the ``k`` + 1 smallest ids can
+    Queries go to the regions that hold partitions they probe, one copy a
+    region, and get their best ``k`` there from those partitions alone; the
+    index is copied only where a region is asked by more than ``query_rows``,
+    and a region too large for a task is dealt over several. Of equal vectors only the ``k`` + 1 smallest ids can
     be found by a query, so no more are indexed: a third of all rows being
     equal makes no large block.
     """
     spark = rows.sparkSession
-    good, _ = usable_rows(rows, is_query, id, vec)
+    good, dim = usable_rows(rows, is_query, id, vec)
     good = materialize(good.withColumn("key", F.xxhash64("vec")), "vectors")
     total = good.count()
     if not total:
@@ -309,18 +358,24 @@ def search(rows: DataFrame, is_query: Column, params: AnnParams = AnnParams(), i
     same = Window.partitionBy("key", "vec").orderBy("vec_id")
     index = placed.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= params.k + 1).select("part", "vec_id", "vec")
     index = materialize(index, "index")
-    asks = placed.filter("asks").select("vec_id", "vec", F.explode("probes").alias("part"))
-    # one row a partition that holds rows
-    sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    asked = asks.groupBy("part").agg(F.count(F.lit(1)).alias("queries"))
+    regions = params.regions(total, dim, router.parts, spark.sparkContext.defaultParallelism)
+    index = index.withColumn("region", F.col("part") % regions)
+    asks = placed.filter("asks").select("vec_id", "vec", "probes", F.explode(F.array_distinct(F.transform("probes", lambda p: p % regions))).alias("region"))
+    asks = asks.withColumn("probes", F.filter("probes", lambda p: p % regions == F.col("region")))
+    # one row a region that holds rows
+    sizes = index.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
+    asked = asks.groupBy("region").agg(F.count(F.lit(1)).alias("queries"))
     at_least = lambda n, each: F.greatest(F.ceil(n / each), F.lit(1)).cast("int")
-    plan = materialize(sizes.join(asked, "part").select("part", at_least(F.col("rows"), params.block_rows).alias("salts"), at_least(F.col("queries"), params.query_rows).alias("chunks")), "blocks")
+    # twice the bytes: a region near the bound is not dealt over two for a few rows
+    plan = sizes.join(asked, "region").select("region", at_least(F.col("rows"), max(1, 2 * params.region_bytes // (8 * dim))).alias("salts"), at_least(F.col("queries"), params.query_rows).alias("chunks"))
+    plan = materialize(plan, "blocks")
     hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "vec"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.join(plan, "part").select("part", hashed(1, F.col("salts")).alias("salt"), each(F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "vec")
-    right = asks.join(plan, "part").select("part", each(F.col("salts")).alias("salt"), hashed(2, F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "vec")
-    by = ["part", "salt", "chunk"]
-    dealt = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "asks")
-    found = dealt.mapInPandas(lambda batches: blocks_of(batches, params.k), FOUND)
+    none = lambda t: F.lit(None).cast(t)
+    left = index.join(plan, "region").select("region", hashed(1, F.col("salts")).alias("salt"), each(F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"), "part", none("array<int>").alias("probes"), "vec_id", "vec")
+    right = asks.join(plan, "region").select("region", each(F.col("salts")).alias("salt"), hashed(2, F.col("chunks")).alias("chunk"), F.lit(True).alias("asks"), none("int").alias("part"), "probes", "vec_id", "vec")
+    by = ["region", "salt", "chunk"]
+    dealt = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "asks", "part")
+    found = dealt.mapInPandas(lambda batches: blocks_of(batches, params.k, params.block_rows), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
