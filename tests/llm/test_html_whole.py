@@ -55,6 +55,22 @@ def test_furniture_stays_out(name):
     assert html_extract.extract_one(long, [], params)[0] == B
 
 
+@pytest.mark.parametrize("name", ["comment-list", "comments-area", "user-comments", "ad-slot-3", "ad_728x90", "related-posts", "share-buttons", "cookie-bar", "site-nav", "newsletter-form"])
+def test_furniture_of_paired_names_stays_out(name):
+    params = html_extract.ExtractParams()
+    for attr in ("class", "id"):
+        inside = f"<body><article><p>{B}</p><div {attr}='{name}'><p>{C}</p></div><p>{A}</p></article>"
+        assert html_extract.extract_one(inside, [], params)[0] == f"{B}\n{A}"
+        beside = f"<body><div class=post><p>{B}</p></div><div {attr}='{name}'><p>{C}</p></div>"
+        assert html_extract.extract_one(beside, [], params)[0] == B
+
+
+@pytest.mark.parametrize("name", ["post-header", "widget-container", "has-sidebar", "comment-free", "nav-story", "page-content", "article-body", "main", "list_2"])
+def test_other_names_stay_in(name):
+    page = f"<body><article><div class='{name}'><p>{C}</p></div><p>{B}</p><p>{A}</p></article>"
+    assert html_extract.extract_one(page, [], html_extract.ExtractParams())[0] == f"{C}\n{B}\n{A}"
+
+
 #: Pages that have no container of the usual kind, or little prose in it.
 PLAIN = {
     "<p>Hello there world</p><p>Second para</p>": "Hello there world\nSecond para",

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,6 +46,18 @@ NOISE = re.compile(
 )
 # Those of furniture that is often longer than the article.
 LONG = re.compile(r"cookies?|consent|gdpr|notices?|comments?|commentlist|disqus|replies|respond", re.I)
+# Those that mark furniture together with a place, a shape or a number too (comment-list, ad-slot-3, site-nav).
+PAIRED = re.compile(
+    r"(?:ads?|advert\w*|cookies?|consent|gdpr|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|respond|"
+    r"share|sharing|social|related|recommended|promo\w*|sponsor\w*|newsletter|subscribe|signup|login|popup|modal|pagination|pager)",
+    re.I,
+)
+# The words for such a place or shape.
+ATTACHED = re.compile(
+    r"(?:area|articles?|bars?|block|body|bottom|box|buttons?|column|container|dialog|feed|form|global|group|icons?|inner|items?|left|links?|list|main|outer|page|panel|"
+    r"posts?|primary|rail|reader|right|row|secondary|section|site|slot|stories|thread|top|unit|user|wrap|wrapper|zone|\d+(?:x\d+)?)",
+    re.I,
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ARTICLES = frozenset(("article", "main"))
@@ -66,6 +79,18 @@ class ExtractParams:
     spare: float = 0.1
 
 
+@lru_cache(maxsize=4096)
+def softness(called: str) -> int:
+    """Of an element's classes and id: 2 if one names furniture that may be long, 1 if one names other furniture, else 0."""
+    marks: list[str] = []
+    for name in called.split():
+        words = re.split("[-_]+", name.strip("-_"))
+        others = [x for x in words if not NOISE.fullmatch(x)]
+        if not others or (any(map(PAIRED.fullmatch, words)) and all(map(ATTACHED.fullmatch, others))):
+            marks += words
+    return 2 if any(map(LONG.fullmatch, marks)) else int(bool(marks))
+
+
 class Node:
     """``hard`` elements are never text; ``soft`` ones are furniture by name, or forms: 1 unless they hold the page (``mark``), 2 even then.
 
@@ -130,12 +155,7 @@ class _Builder(HTMLParser):
             hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES or bool(HIDDEN.search(a.get("style", "")))
             called = a.get("class", "")
             if (called or "id" in a) and tag not in ("html", "body") and tag not in ARTICLES:
-                marks = [re.split("[-_]+", x.strip("-_")) for x in f"{called} {a.get('id', '')}".split()]
-                marks = [x for x in marks if all(map(NOISE.fullmatch, x))]
-                if any(map(LONG.fullmatch, sum(marks, []))):
-                    soft = 2
-                elif marks:
-                    soft = 1
+                soft = softness(f"{called} {a.get('id', '')}") or soft
             soft = soft or int(role == "form")
             if called:
                 name = ".".join([tag, *sorted(set(re.sub(r"\d+", "N", called).replace(">", "_").lower().split()))])
