@@ -71,6 +71,13 @@ def test_other_names_stay_in(name):
     assert html_extract.extract_one(page, [], html_extract.ExtractParams())[0] == f"{C}\n{B}\n{A}"
 
 
+@pytest.mark.parametrize("end", ["<!-- cut <p>off", "<p class='cut", "<a href=x", "</p", "<!", "<script>cut", "<!---->", ""])
+def test_what_the_end_cuts_off_is_no_text(end):
+    assert html_extract.extract_one(f"<article><p>{A}</p>{end}", [], html_extract.ExtractParams())[0] == A
+    for tail in ("1 < 2", "a <3 b", "x &amp", "R&D"):
+        assert html_extract.extract_one(f"<article><p>{A}</p>{tail}", [], html_extract.ExtractParams())[0] == f"{A}\n{tail.replace('&amp', '&')}"
+
+
 #: Pages that have no container of the usual kind, or little prose in it.
 PLAIN = {
     "<p>Hello there world</p><p>Second para</p>": "Hello there world\nSecond para",

@@ -59,6 +59,7 @@ ATTACHED = re.compile(
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNENDED = re.compile("<[!?/a-zA-Z]")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ARTICLES = frozenset(("article", "main"))
 VOTE = "host string, path string, score double"
@@ -204,6 +205,8 @@ class _Builder(HTMLParser):
 def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
+    if UNENDED.match(builder.rawdata):  # a comment or tag that the page's end cuts off is no text
+        builder.rawdata = ""
     builder.close()
     mark(builder.root)
     return builder.root
