@@ -1,27 +1,27 @@
 """Phases and the multi-level driver.
 
-The driver keeps scalars only. Every sweep is one plan whose result (one row a
-vertex) is written to the shared folder, so lineage never grows and a lost
-executor costs one sweep at most.
+The driver keeps scalars only, but for graphs of a single block. Every sweep is
+one job whose result (one row a vertex) is written to the shared folder, so
+lineage never grows and a lost executor costs one sweep at most.
 """
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import coarsen as co
-from weftgraph.operators import coloring, modularity
+from weftgraph.operators import coloring
 from weftgraph.operators import sweep as sw
 from weftgraph.operators.build import vertices_of
+from weftgraph.plans.blocks import Blocks, Rule
 from weftgraph.plans.stage import materialize
 
 MAX_PHASES = 200
 MAX_ITERATIONS = 10_000
-P_CUTOFF = 0.02
 INACTIVE_SHARE = 0.9
 PATIENCE = 2
 # The thresholds of 13 phases in turn; None is the default one.
@@ -70,19 +70,25 @@ def _one(df: DataFrame):
     return df.first()[0]
 
 
-def _colored_sweep(edges, assign, vertices, c, colors, active):
-    """Colours take turns; community sizes are refreshed after each, labels at the end."""
-    target = assign
-    of = F.coalesce("color", F.lit(-1))
-    ids = sorted((r[0] for r in colors.select(of.alias("c")).distinct().collect()), key=lambda x: (x < 0, x))
-    for color in ids:
-        turn = colors.filter(of == color).select("v")
-        if active is not None:
-            turn = turn.join(active, "v", "left_semi")
-        own = edges.join(turn.select(F.col("v").alias("src")), "src", "left_semi")
-        moves = sw.best_moves(sw.gains(own, assign, vertices, c, sw.community_info(target, vertices)))
-        target = materialize(sw.apply_moves(target, moves), "color")
-    return target
+def _blocks(edges: DataFrame, vertices: DataFrame, colors: DataFrame | None) -> Blocks:
+    """Colours take turns in their order; vertices without one come last."""
+    if colors is None:
+        return Blocks(edges, vertices)
+    turn = colors.select("v", F.coalesce("color", F.lit(-1)).alias("turn"))
+    ids = sorted((r[0] for r in turn.select("turn").distinct().collect()), key=lambda x: (x < 0, x))
+    return Blocks(edges, vertices.join(turn, "v"), ids)
+
+
+def run_sweeps(edges: DataFrame, vertices: DataFrame, sweeps: int, early_stop: int = 0, alpha: float = 1.0, colors: DataFrame | None = None) -> DataFrame:
+    """The partition after so many sweeps, whatever their scores."""
+    total = _one(sw.total_weight(edges).select("two_m"))
+    if not total:
+        return materialize(sw.singletons(vertices), "assign")
+    graph = _blocks(edges, vertices, colors)
+    now = graph.start()
+    for k in range(1, sweeps + 1):
+        now = graph.sweep(now, Rule(1.0 / total, k, early_stop, alpha))
+    return graph.assign(now)
 
 
 def run_phase(
@@ -99,62 +105,47 @@ def run_phase(
     present one agree on a vertex; 3 and 4 also stop when 90 percent are
     frozen. In compat mode a frozen vertex counts with the edge weight of its
     last active sweep.
+
+    The edge term of a partition is summed by the sweep that starts from it, so
+    a strict phase runs one sweep ahead of the partition it scores.
     """
     if mode not in ("strict", "compat"):
         raise ValueError(f"unknown mode {mode!r}")
     total = _one(sw.total_weight(edges).select("two_m"))
-    current = materialize(sw.singletons(vertices), "assign")
-    n = current.count()
     if not total:
-        return Phase(current, 0.0, 0)
+        return Phase(materialize(sw.singletons(vertices), "assign"), 0.0, 0)
     c = 1.0 / total
-    previous = current
-    best_q = _one(modularity.modularity(edges, current, vertices))
-    best, last, idle, trace, active = current, -1.0, 0, [], None
-    state = materialize(vertices.select("v", F.lit(1.0).alias("p"), F.lit(True).alias("active")), "p") if early_stop in (2, 4) else None
+    graph = _blocks(edges, vertices, colors)
+    previous = current = best = graph.start()
+    n = vertices.count()
+    score = lambda e_in, of: e_in * c - of.info[2] * c * c
+    rule = Rule(c, 1, early_stop, alpha, hold=mode == "compat" and bool(early_stop))
+    best_q, last, idle, trace, target = None, -1.0, 0, [], graph.sweep(current, rule)
+    if mode == "strict":
+        best_q = score(target.e_in, current)
     for k in range(1, max_iterations + 1):
-        if colors is not None:
-            target = _colored_sweep(edges, current, vertices, c, colors, active)
-        else:
-            target = materialize(sw.sweep(edges, current, vertices, c, active=active), "assign")
         if mode == "compat":
-            if early_stop and active is not None:
-                own = modularity.internal_by_vertex(edges.join(active.select(F.col("v").alias("src")), "src", "left_semi"), current)
-                held = materialize(held.join(active, "v", "left_anti").unionByName(own), "held")
-                q = _one(modularity.replayed_modularity(held, target, vertices, sw.total_weight(edges)))
-            else:
-                if early_stop:
-                    held = materialize(modularity.internal_by_vertex(edges, current), "held")
-                q = _one(modularity.lagged_modularity(edges, current, target, vertices, absolute=True))
-            trace.append((q, target.select("comm").distinct().count()))
+            q = abs(score(target.e_in, target))
+            trace.append((q, target.info[1]))
             if q - last < threshold:
-                return Phase(previous, last if k > 1 else q, k, trace)
+                return Phase(graph.assign(previous), last if k > 1 else q, k, trace)
         else:
-            q = _one(modularity.modularity(edges, target, vertices))
+            ahead = graph.sweep(target, replace(rule, number=k + 1))
+            q = score(ahead.e_in, target)
             trace.append((q, k))
             if q > best_q + threshold:
                 best, best_q, idle = target, q, 0
             else:
                 idle += 1
             if idle > PATIENCE:
-                return Phase(best, best_q, k, trace)
+                return Phase(graph.assign(best), best_q, k, trace)
         last = q
-        if early_stop in (1, 3):
-            flags = sw.early_termination(current, previous, target, k)
-            flags = flags if active is None else flags.join(active, "v", "left_semi")
-            active = materialize(flags.filter("active").select("v"), "active")
-        elif early_stop in (2, 4):
-            same = previous.select("v", F.col("comm").alias("t")).join(current, "v")
-            stable = F.lit(k > 2) & (F.col("t") == F.col("comm"))
-            joined = state.join(same.select("v", stable.alias("stable")), "v")
-            state = materialize(sw.decay(joined.select("v", "p", "stable"), alpha, P_CUTOFF), "p")
-            active = state.filter("active").select("v")
-        if early_stop and active is not None:
-            moving = active.count()
-            if moving == 0 or (early_stop in (3, 4) and n - moving >= INACTIVE_SHARE * n):
-                return Phase(best if mode == "strict" else current, best_q if mode == "strict" else q, k, trace)
+        if early_stop and (target.active == 0 or (early_stop in (3, 4) and n - target.active >= INACTIVE_SHARE * n)):
+            return Phase(graph.assign(best if mode == "strict" else current), best_q if mode == "strict" else q, k, trace)
         previous, current = current, target
-    return Phase(best if mode == "strict" else previous, best_q if mode == "strict" else last, max_iterations, trace)
+        if k < max_iterations:
+            target = ahead if mode == "strict" else graph.sweep(target, replace(rule, number=k + 1))
+    return Phase(graph.assign(best if mode == "strict" else previous), best_q if mode == "strict" else last, max_iterations, trace)
 
 
 def louvain(
