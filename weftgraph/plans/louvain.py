@@ -159,8 +159,8 @@ def louvain(
     ``ordered`` is accepted for completeness: a synchronous sweep does not
     depend on the order of its vertices, so it equals the plain variant.
     """
-    ids = (vertices_of(edges) if vertices is None else vertices.select("v")).distinct()
     level_edges = materialize(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "edges")
+    ids = vertices_of(level_edges) if vertices is None else vertices.select("v").distinct()
     ids = materialize(ids, "vertices")
     folded, level_ids, q, levels = sw.singletons(ids), ids, None, []
     final_run = False
