@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 
 import numpy as np
@@ -139,6 +140,20 @@ def test_edited_fingerprints_over_ranges(spark, spread):
     assert simhash.edited_fingerprints(frame.limit(0)).count() == 0
 
 
+def test_many_partitions_of_few_documents_make_few_files(spark, spread, tmp_path):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    rng = random.Random(8)
+    rows = [(i, " ".join(str(rng.randrange(40)) for _ in range(rng.randrange(1, 9)))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    few = {tuple(r) for r in queries.op6_fingerprint(spark, str(tmp_path)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    before = set(shared.glob("*/part-*"))
+    queries.op6_fingerprint(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert len(set(shared.glob("*/part-*")) - before) <= 3  # two of fingerprints, one of the ends of ranges
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 8
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == few and len(few) == 1500
+
+
 def test_repeated_rows_fill_several_ranges(spark, spread):
     same = spark.createDataFrame([(5, "a b c")] * 3000 + [(i, str(i)) for i in range(20)], "doc_id long, text string").repartition(4)
     out = simhash.edited_fingerprints(same)

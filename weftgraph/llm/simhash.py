@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,11 +133,14 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
     there are as many ranges as the session has shuffle partitions, and rows
     equal in id and text, which may follow each other in any order, are spread
     over them. A range does not see the next one, so it is written with its
-    first text and its last document, and these few rows are joined.
+    first text and its last document, and these few rows are joined. Short
+    ranges share a task and a file, so many partitions of a small table do
+    not make many files. What is returned only reads written tables.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"__h": F.xxhash64("text"), "__r": F.rand(params.seed)})
-    ranged = rows.repartitionByRange("doc_id", "__h", "__r").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
+    ranged = rows.repartitionByRange("doc_id", "__h", "__r").sortWithinPartitions("doc_id", "__h")
+    ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("range"))  # not the task's number, as a task may have several ranges
     ranged_names, names = ([x.split()[0] for x in t.split(", ")] for t in (RANGED, EDITED))
 
     def report(of: TermFingerprint, k: int | None, t: str, p: bytes, following: str, following_print: bytes) -> tuple:
@@ -147,10 +149,10 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
         return (k, len(t), hashlib.sha256(e.encode()).digest(), lanes_of(p), lanes_of(q), likeness(p, q), likeness(p, following_print))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, at, last = TermFingerprint(params.lanes, params.seed), TaskContext.get().partitionId(), None
+        of, at, last = TermFingerprint(params.lanes, params.seed), None, None
         for pdf in batches:
             out: list[tuple] = []
-            for k, t in zip(pdf["doc_id"], pdf["text"]):
+            for k, t, at in zip(pdf["doc_id"], pdf["text"], pdf["range"]):
                 p = of(t)
                 out.append((at, 1, t, *[None] * 7) if last is None else (at, 0, None, *report(of, *last, t, p)))
                 last = (None if pd.isna(k) else int(k), t, p)
@@ -159,7 +161,7 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
         if last is not None:
             yield frame([(at, 2, last[1], last[0], *[None] * 6)], ranged_names)
 
-    got = materialize(map_frames(ranged, run, RANGED), "edited")
+    got = materialize(few_files(map_frames(ranged, run, RANGED), docs.count(), TEXTS_A_FILE), "edited")
     # one row a range
     heads = got.filter("edge = 1").select(F.col("range").alias("next"), F.col("text").alias("following"))
     order = Window.orderBy("range")
@@ -172,7 +174,8 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
             out = [report(of, None if pd.isna(k) else int(k), t, of(t), f, of(f)) for k, t, f in zip(pdf["doc_id"], pdf["text"], pdf["following"])]
             yield frame(out, names)
 
-    every = got.filter("edge = 0").select(*names).unionByName(map_frames(ends, close, EDITED))
+    closed = materialize(few_files(map_frames(ends, close, EDITED), got.filter("edge = 2").count(), TEXTS_A_FILE), "closed")
+    every = got.filter("edge = 0").select(*names).unionByName(closed)
     sha = F.lower(F.hex("edited_sha256")).alias("edited_sha256")
     strings = [F.concat(*[hexadecimal(F.col(c)[i]) for i in range(params.lanes)]).alias(n) for c, n in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
     return every.select("doc_id", "n_chars", sha, *strings, "near_edited", "near_next", "prints")
@@ -181,12 +184,12 @@ def edited_fingerprints(docs: DataFrame, params: EditParams = EditParams(), id:
 def with_near(rows: DataFrame, is_query: Column, params: "TableParams", prints: str = "prints") -> DataFrame:
     """Add ``n_near`` to ``rows``: how many other distinct fingerprints of all rows lie within the radius of a query row's.
 
-    Rows that are no queries have a null. ``prints`` are arrays of 64-bit lanes.
+    Rows that are no queries have a null. ``prints`` are arrays of 64-bit
+    lanes. ``rows`` are read several times, so they should be written ones.
     """
-    rows = materialize(rows, "prints")
     asks = F.coalesce(is_query, F.lit(False))
     near = search(rows.filter(asks), rows, params, prints).groupBy("query").agg((F.count(F.lit(1)) - 1).alias("n_near"))  # all find themselves
-    found = rows.filter(asks).join(near, F.col(prints) == F.col("query")).drop("query")
+    found = few_files(rows.filter(asks).join(near, F.col(prints) == F.col("query")).drop("query"), rows.filter(asks).count())
     return found.unionByName(rows.filter(~asks).withColumn("n_near", F.lit(None).cast("long")))
 
 
@@ -273,13 +276,14 @@ def search(queries: DataFrame, prints: DataFrame, params: TableParams = TablePar
 
 # --- components -----------------------------------------------------------------
 
-#: Narrow rows that are worth a file of their own.
+#: Narrow rows that are worth a file of their own; texts that are.
 ROWS_A_FILE = 8192
+TEXTS_A_FILE = 1000
 
 
-def few_files(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` of at most ``rows`` narrow rows in no more parts than these fill; never in more than it has."""
-    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+def few_files(df: DataFrame, rows: int, each: int = ROWS_A_FILE) -> DataFrame:
+    """``df`` of at most ``rows`` rows in no more parts than these fill, ``each`` to one; never in more than it has."""
+    return df.coalesce(max(1, -(-rows // each)))
 
 
 def components(links: DataFrame) -> DataFrame:
