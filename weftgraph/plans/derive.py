@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.build import symmetrize
+from weftgraph.plans.laid import Halves, Source, merged
+
+LINES = 1 << 18  # order lines paired at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +36,41 @@ def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symmetrize(copurchase_pairs(spark, sf_dir))
 
 
+def _pairs(keys: np.ndarray, values: np.ndarray) -> Iterator[Halves]:
+    """Both directions of the pairs of distinct values of a key."""
+    keys, values, _ = merged(keys, values, None)
+    at, step = np.arange(len(keys)), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        a, b = values[at], values[at + step]
+        yield np.concatenate([a, b]), np.concatenate([b, a]), None
+        step += 1
+
+
+def _paired(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Halves]:
+    """Pairs of rows ``(key, value)`` that come by ascending key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows, most = 0, least
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        rows += batch.num_rows
+        if rows >= most:
+            keys, values = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            yield from _pairs(keys[:cut], values[:cut])
+            held, rows = [(keys[cut:], values[cut:])], len(keys) - cut
+            most = max(least, 2 * rows)
+    if rows:
+        yield from _pairs(*[np.concatenate(x) for x in zip(*held)])
+
+
+def copurchase_source(spark: SparkSession, sf_dir: str) -> Source:
+    """The half-edges of ``copurchase``, made by tasks."""
+    lines = table(spark, sf_dir, "lineitem").select(*[F.col(x).cast("long").alias(x) for x in ("l_orderkey", "l_partkey")])
+    return Source(lines.dropna(), "l_orderkey", partial(_paired, least=LINES))
+
+
 def cosupplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symmetrize(_together(table(spark, sf_dir, "lineitem"), "l_suppkey"))
 

@@ -8,8 +8,11 @@ lineage never grows and a lost executor costs one sweep at most.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ from weftgraph.operators import coarsen as co
 from weftgraph.operators import coloring
 from weftgraph.operators import sweep as sw
 from weftgraph.operators.build import vertices_of
-from weftgraph.plans.blocks import Blocks, Rule
+from weftgraph.plans import laid
+from weftgraph.plans.blocks import Blocks, Rule, put_rows
 from weftgraph.plans.stage import materialize
 
 MAX_PHASES = 200
@@ -34,7 +38,7 @@ def cycled_threshold(phase: int, default: float = 1e-6) -> float:
 
 @dataclass
 class Phase:
-    assign: DataFrame
+    assign: DataFrame | laid.State
     q: float
     iterations: int
     trace: list[tuple[float, int]] = field(default_factory=list)  # (q, communities) in compat mode, (q, sweep) in strict mode
@@ -114,10 +118,11 @@ def run_phase(
     total = _one(sw.total_weight(edges).select("two_m"))
     if not total:
         return Phase(materialize(sw.singletons(vertices), "assign"), 0.0, 0)
-    c = 1.0 / total
-    graph = _blocks(edges, vertices, colors)
+    return _phase(_blocks(edges, vertices, colors), 1.0 / total, vertices.count(), threshold, mode, early_stop, alpha, max_iterations)
+
+
+def _phase(graph: Blocks | laid.Laid, c: float, n: int, threshold: float, mode: str, early_stop: int, alpha: float, max_iterations: int) -> Phase:
     previous = current = best = graph.start()
-    n = vertices.count()
     score = lambda e_in, of: e_in * c - of.info[2] * c * c
     rule = Rule(c, 1, early_stop, alpha, hold=mode == "compat" and bool(early_stop))
     best_q, last, idle, trace, target = None, -1.0, 0, [], graph.sweep(current, rule)
@@ -151,14 +156,22 @@ def run_phase(
 def louvain(
     edges: DataFrame, vertices: DataFrame | None = None, threshold: float = 1e-6, mode: str = "strict", cycle: bool = False,
     single_phase: bool = False, early_stop: int = 0, alpha: float = 1.0, colored: bool = False, ordered: bool = False,
-    max_colors: int = 8, max_phases: int = MAX_PHASES, max_iterations: int = MAX_ITERATIONS,
+    max_colors: int = 8, max_phases: int = MAX_PHASES, max_iterations: int = MAX_ITERATIONS, source: Callable[[], laid.Source] | None = None,
 ) -> Result:
     """Multi-level community detection.
 
     One mapping is used for both the coarse graph and the folded labels.
     ``ordered`` is accepted for completeness: a synchronous sweep does not
     depend on the order of its vertices, so it equals the plain variant.
+    ``source`` gives the same half-edges, in both directions, as tasks can make
+    them without rows; a strict run without colours takes them from there if
+    they fit ``laid.Laid``.
     """
+    if source is not None and vertices is None and mode == "strict" and not colored:
+        graph = laid.lay_out(source())
+        found = graph and _laid_levels(graph, dict(edges.dtypes)["src"], threshold, cycle, single_phase, early_stop, alpha, max_phases, max_iterations)
+        if found:
+            return found
     level_edges = materialize(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "edges")
     ids = vertices_of(level_edges) if vertices is None else vertices.select("v").distinct()
     ids = materialize(ids, "vertices")
@@ -189,3 +202,34 @@ def louvain(
         level_edges = materialize(co.coarsen(level_edges, numbered), "edges")
         level_ids = materialize(numbered.select(F.col("comm").alias("v")).distinct(), "vertices")
     return Result(materialize(co.relabel(folded), "communities"), q or 0.0, levels)
+
+
+def _laid_levels(
+    graph: laid.Laid, kind: str, threshold: float, cycle: bool, single_phase: bool, early_stop: int, alpha: float, max_phases: int, max_iterations: int,
+) -> Result | None:
+    """The levels of ``louvain`` over laid out half-edges; nothing if a level can't be laid out."""
+    spark, v, folded, q, levels, final_run = graph.spark, graph.v, np.arange(graph.n), None, [], False
+    for phase in range(max_phases):
+        bound = 1e-6 if final_run else cycled_threshold(phase, threshold) if cycle else threshold
+        began = time.time()
+        found = _phase(graph, 1.0 / graph.total, graph.n, bound, "strict", early_stop, alpha, max_iterations) if graph.total else Phase(graph.start(), 0.0, 0)
+        accepted = q is None or found.q - q > bound
+        levels.append({
+            "phase": phase, "q": found.q, "iterations": found.iterations, "edges": graph.half_edges, "vertices": graph.n,
+            "seconds": time.time() - began, "threshold": bound, "accepted": accepted, "trace": found.trace,
+        })
+        if not accepted:
+            if cycle and not final_run and bound > 1e-6:
+                final_run = True
+                continue
+            break
+        q = found.q
+        label, count = laid.renumbered(found.assign.comm)
+        folded = label[folded]
+        if single_phase or final_run:
+            break
+        graph = graph.contract(label, count)
+        if graph is None:
+            return None
+    table = pa.table({"v": v, "comm": laid.renumbered(folded)[0]})
+    return Result(put_rows(spark, table, "communities", "v long, comm long").withColumn("v", F.col("v").cast(kind)), q or 0.0, levels)
